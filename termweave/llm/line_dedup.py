@@ -27,7 +27,6 @@ from .common import drop_path, fresh_path
 PROBES = 4
 BITS_PER_HASH = 12
 BROADCAST_LIMIT = 192 << 20
-ROW = "xxhash64(_text)"
 
 
 def positions(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -116,7 +115,7 @@ def build_segment(parts: list[bytes], marked: list[bytes]) -> tuple[int, bytes]:
     return twice.bits, twice.map.tobytes()
 
 
-def _reduce(key, table: pa.Table) -> pa.Table:
+def _reduce(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     bits, data = build_segment(table["hashes"].to_pylist(), table["twice"].to_pylist())
     return pa.table({"seg": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([bits], pa.int64()), "data": pa.array([data], pa.binary())})
 

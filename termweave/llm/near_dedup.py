@@ -105,10 +105,10 @@ def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, docs: i
         winner = np.zeros(docs * slots, np.uint64)
         rows = np.flatnonzero(live[row_doc])
         clock = np.zeros(len(rows))
-        turn = np.uint64(0)
+        turn = 0
         while len(rows):
-            turn += np.uint64(1)
-            draw = fmix64(seed[rows] + GOLDEN * turn)
+            turn += 1
+            draw = fmix64(seed[rows] + np.uint64(int(GOLDEN) * turn & 0xFFFFFFFFFFFFFFFF))
             clock = clock - np.log1p(-((draw >> np.uint64(11)).astype(np.float64) * 2.0**-53)) / rate[rows]
             early = clock <= stop[row_doc[rows]]
             rows, clock, draw = rows[early], clock[early], draw[early]
