@@ -7,9 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -77,8 +75,15 @@ class Memo(dict):
         return found
 
 
-def text_or_empty(name: str = "text"):
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """``names`` with underscores before them until no column is called so."""
+    taken = {c.lower() for c in docs.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        found.append(name)
+    return found
 
 
 def fmix64(x: np.ndarray) -> np.ndarray:
@@ -92,30 +97,6 @@ def fmix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes and row offsets of an Arrow string column; nulls are empty."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    if column.null_count:
-        column = column.fill_null("")
-    column = column.cast(pa.large_string())
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
-    body = column.buffers()[2]
-    data = np.frombuffer(body, dtype=np.uint8) if body is not None else np.zeros(0, np.uint8)
-    if not len(column):
-        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
-
-
-def segment_sum(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Sum of ``values`` between consecutive offsets; empty segments give 0."""
-    total = np.zeros(len(offsets) - 1)
-    full = np.flatnonzero(offsets[1:] > offsets[:-1])
-    if len(full):
-        total[full] = np.add.reduceat(values, offsets[:-1][full], dtype=np.int64 if values.dtype.kind in "bui" else np.float64)
-    return total
-
-
 def gamma_p(a: float, x: float) -> float:
     """Regularised lower incomplete gamma function (series / continued fraction)."""
     if x <= 0:

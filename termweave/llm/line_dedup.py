@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_path, fresh_path
+from .common import drop_path, free_names, fresh_path
 
 PROBES = 4
 BITS_PER_HASH = 12
@@ -209,22 +209,20 @@ def dedup_lines(docs: DataFrame, segments: int | None = None, broadcast_limit: i
     taken whole; an empty table stays empty; other columns are untouched.
     """
     slim = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_row"), F.col("text").alias("_text"))
+    row, gid, grow, cut, new = free_names(docs, "_trow", "_gid", "_grow", "_gone", "_new")
     gone = repeats(slim, segments, broadcast_limit)
-    gone = gone.select(F.col("_id").alias("_gid"), F.col("_row").alias("_grow"), F.col("gone").alias("_gone"))
+    gone = gone.select(F.col("_id").alias(gid), F.col("_row").alias(grow), F.col("gone").alias(cut))
     # the row hash is part of every key, so the join needs no null-safe form for it
-    joined = docs.withColumn("_trow", F.xxhash64("text")).join(
-        gone, (F.col("_trow") == F.col("_grow")) & F.col("doc_id").eqNullSafe(F.col("_gid")), "left"
-    )
-    lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda line, i: ~F.array_contains(F.col("_gone"), i))
-    rebuilt = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = joined.withColumn("_new", rebuilt).where(F.col("_gone").isNull() | (F.length(F.trim(F.translate("_new", "\n", " "))) > 0))
+    joined = docs.withColumn(row, F.xxhash64("text")).join(gone, (F.col(row) == F.col(grow)) & F.col("doc_id").eqNullSafe(F.col(gid)), "left")
+    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(F.col(cut), i))
+    rebuilt = F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    out = joined.withColumn(new, rebuilt).where(F.col(cut).isNull() | (F.length(F.trim(F.translate(new, "\n", " "))) > 0))
     values = []
     for field in docs.schema.fields:
         if field.name == "text":
-            values.append(F.col("_new").alias("text"))
+            values.append(F.col(new).alias("text"))
         elif field.name == "n_chars":
-            length = F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("_new"))
+            length = F.when(F.col(cut).isNull(), F.col("n_chars")).otherwise(F.length(new))
             values.append(length.cast(field.dataType).alias("n_chars"))
         else:
             values.append(docs[field.name])

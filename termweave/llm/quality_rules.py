@@ -11,8 +11,8 @@ the documents within it. Each step is two passes that leave one small row per
 task and group, so a group may be larger than any machine's memory. The start
 is the spatial-sign covariance around coordinatewise medians, which needs no
 random subsets. Only the vectors are read again, from a table in the shared
-folder. Groups of fewer than ``min_group`` documents are pooled by language,
-and those that still are too few into one group.
+folder. Documents of groups of fewer than ``min_group`` are judged by the
+estimates of their whole language, or of all documents if that is as small.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import chi2_quantile, gamma_p, materialise
@@ -157,13 +157,24 @@ def from_moments(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def group_keys(table: DataFrame, min_group: int) -> DataFrame:
-    """(key, x, doc_id): key is language and source, or a pool of small groups."""
-    counts = table.where("x is not null").groupBy("lang", "source").count()
-    by_lang = counts.withColumn("_small", F.col("count") < min_group)
-    pooled = by_lang.where("_small").groupBy("lang").agg(F.sum("count").alias("_rest"))
-    key = F.when(~F.col("_small"), F.concat_ws(JOIN, "lang", "source")).when(F.col("_rest") >= min_group, F.concat("lang", F.lit(JOIN + JOIN))).otherwise(F.lit(JOIN * 3))
-    named = by_lang.join(pooled, "lang", "left").select("lang", "source", key.alias("key"))
-    return table.join(named, ["lang", "source"]).select("key", "x", "doc_id")
+    """(doc_id, x, key, keys) of the rows with words.
+
+    ``key`` is the group whose estimates judge the row: its language and source,
+    or its whole language, or the whole table where that is too small. ``keys``
+    are the groups whose estimates the row takes part in.
+    """
+    named = table.where("x is not null")
+    both, lang, whole = F.concat_ws(JOIN, "lang", "source"), F.concat("lang", F.lit(JOIN * 2)), F.lit(JOIN * 3)
+    counts = named.groupBy("lang", "source").count()
+    # a row per language and source; windows over it are small
+    of_lang, of_all = Window.partitionBy("lang"), Window.partitionBy(F.lit(0))
+    key = F.when(F.col("count") >= min_group, both).when(F.sum("count").over(of_lang) >= min_group, lang).otherwise(whole)
+    chosen = counts.withColumn("key", key)
+    in_lang = F.max(F.col("key") == lang).over(of_lang)
+    in_all = F.max(F.col("key") == whole).over(of_all)
+    keys = F.array_compact(F.array(F.when(F.col("key") == both, both), F.when(in_lang, lang), F.when(in_all, whole)))
+    groups = chosen.select("lang", "source", "key", keys.alias("keys"))
+    return named.join(groups, ["lang", "source"]).select("doc_id", "x", "key", "keys")
 
 
 def fit(grouped: DataFrame, support: float = SUPPORT, steps: int = STEPS) -> dict[str, Estimate]:
@@ -215,8 +226,8 @@ def fit(grouped: DataFrame, support: float = SUPPORT, steps: int = STEPS) -> dic
 def distances(docs: DataFrame, support: float = SUPPORT, min_group: int = MIN_GROUP) -> DataFrame:
     """(doc_id, distance): squared robust distance, null without words."""
     table = materialise(vectors(docs), "vectors")
-    grouped = materialise(group_keys(table.where("x is not null"), min_group), "groups")
-    shared = docs.sparkSession.sparkContext.broadcast(fit(grouped, support))
+    grouped = materialise(group_keys(table, min_group), "groups")
+    shared = docs.sparkSession.sparkContext.broadcast(fit(grouped.select(F.explode("keys").alias("key"), "x"), support))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,7 +236,7 @@ def distances(docs: DataFrame, support: float = SUPPORT, min_group: int = MIN_GR
                 out[keys == key] = shared.value[key].distance(x[keys == key])
             yield pa.record_batch({"doc_id": batch.column(2), "distance": pa.array(np.round(out, 6))})
 
-    return grouped.mapInArrow(run, "doc_id long, distance double")
+    return grouped.select("key", "x", "doc_id").mapInArrow(run, "doc_id long, distance double")
 
 
 def kept(docs: DataFrame, cut: float = CUT, support: float = SUPPORT, min_group: int = MIN_GROUP) -> DataFrame:
