@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from .. import wordlists
-from ..functions.text import PIECE, SPACE, WORD
+from ..functions.text import PIECE, WORD
+from ..sources import rdf
 from .dictionaries import LONGEST, TOP
 
 
@@ -98,12 +99,8 @@ PART_TEXTS = "parts as (select p_partkey as doc_id, p_name as text from part)"
 BRANDS = """brand as (select p_partkey as ord, 'http://example.org/brand_' || p_brand as concept_id, p_name as label from part),
     blabels as (select concept_id, (row_number() over (partition by concept_id order by ord) - 1)::int as label_index, label from brand)"""
 
-SURFACE = 'substr(text, start + 1, "end" - start)'
-SPACE_RUN = f"[{SPACE}]+"
-
 _S = "'http://example.org/part_' || p_partkey"
-_TYPE = "'http://www.w3.org/1999/02/22-rdf-syntax-ns#type'"
-_SKOS, _XL = "http://www.w3.org/2004/02/skos/core#", "http://www.w3.org/2008/05/skos-xl#"
+_TYPE, _SKOS, _XL = f"'{rdf.TYPE}'", rdf.SKOS, rdf.SKOS_XL
 TRIPLES = f"""triples as (
     select {_S} as s, {_TYPE} as p, '{_SKOS}Concept' as o, null as o_lang from part
     union all select {_S}, '{_SKOS}prefLabel', p_name, 'en' from part

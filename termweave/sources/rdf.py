@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
-SKOS = "http://www.w3.org/2004/02/skos/core#"
-SKOS_XL = "http://www.w3.org/2008/05/skos-xl#"
+_W3 = "http://www.w3.org/"
+TYPE = f"{_W3}1999/02/22-rdf-syntax-ns#type"
+SKOS = f"{_W3}2004/02/skos/core#"
+SKOS_XL = f"{_W3}2008/05/skos-xl#"
 CONCEPT = SKOS + "Concept"
 _TRIPLE = r"^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(?:<([^>]*)>|(_:\S+)|\"((?:[^\"\\]|\\.)*)\"(?:@([A-Za-z0-9-]+)|\^\^<[^>]*>)?)\s*\.\s*(?:#.*)?$"
 
