@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo
+from .common import Memo, spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The public pre-token pattern that belongs to the vocabulary.
@@ -250,4 +250,4 @@ def decode(tokens: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return encode(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))

@@ -75,6 +75,16 @@ class Memo(dict):
         return found
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """``table`` over all cores where its files have fewer splits than those.
+
+    A small file with one row group would be one task's work. Input with more
+    splits than cores is left as it is, without a shuffle.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def free_names(docs: DataFrame, *names: str) -> list[str]:
     """``names`` with underscores before them until no column is called so."""
     taken = {c.lower() for c in docs.columns}

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import fresh_path, spread
 
 COMBINE_BYTES = 24 << 20
 TRIE_BYTES = 192 << 20
@@ -297,7 +297,7 @@ def dedup(docs: DataFrame, **options) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return owners(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return owners(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 ORACLE = """

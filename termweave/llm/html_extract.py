@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import spread
+
 RADIUS = 2
 SIGMA = 1.0
 LEVEL = 1.0
@@ -161,4 +163,4 @@ def extracted(pages: DataFrame, radius: int = RADIUS, sigma: float = SIGMA, leve
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return extracted(spread(spark.read.parquet(f"{sf_dir}/pages.parquet")))

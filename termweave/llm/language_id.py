@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import spread
+
 BITS = 16
 SLOTS = 1 << BITS
 MAX_N = 3
@@ -145,5 +147,5 @@ def identify(docs: DataFrame, model: NaiveBayes) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return identify(docs, fit_on_table(docs))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, fmix64, materialise
+from .common import Memo, fmix64, materialise, spread
 
 SHINGLE = 3
 BANDS, ROWS = 32, 5
@@ -262,4 +262,4 @@ def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return groups(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chi2_quantile, gamma_p, materialise
+from .common import chi2_quantile, gamma_p, materialise, spread
 
 STATS = ("log_words", "word_length", "symbols", "digits", "capitals", "distinct", "top_word", "line_words")
 DIM = len(STATS)
@@ -252,4 +252,4 @@ def kept(docs: DataFrame, cut: float = CUT, support: float = SUPPORT, min_group:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kept(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return kept(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, drop_path, fmix64, fresh_path, materialise
+from .common import Memo, drop_path, fmix64, fresh_path, materialise, spread
 
 PASSAGE = 50
 ANCHOR = 25
@@ -326,4 +326,4 @@ def repeats(docs: DataFrame, batches: int = BATCHES, anchor: int = ANCHOR, passa
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return repeats(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
