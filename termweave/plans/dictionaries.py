@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import WORD
+from ..shared import spread
 from ..sources import rdf
 from ..sources.dictionary import index_labels
 
@@ -35,15 +36,19 @@ def corpus_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     Counts cover all documents. Equal counts rank by the n-gram.
     """
     words = F.regexp_extract_all(F.lower("text"), F.lit(f"[{WORD}]+"), F.lit(0))
-    docs = table(spark, sf_dir, "documents").select(words.alias("ws"))
-    sizes = F.sequence(F.lit(1), F.lit(LONGEST))
-    starts = F.transform(F.sequence(F.lit(1), F.size("ws")), lambda i: i)
-    each = docs.where(F.size("ws") > 0).select("ws", F.explode(starts).alias("i"))
-    grams = each.select("ws", "i", F.explode(sizes).alias("n")).where("i + n - 1 <= size(ws)")
-    counted = grams.select("n", F.array_join(F.slice("ws", F.col("i"), F.col("n")), " ").alias("label")).groupBy("n", "label").agg(F.count("*").alias("c"))
+    docs = spread(table(spark, sf_dir, "documents").select("text")).select(words.alias("ws"))
+    # each word beside those after it: shifted arrays, so nothing is copied per position
+    shifted = [F.slice("ws", F.lit(k + 1), F.size("ws")).alias(f"w{k}") for k in range(LONGEST)]
+    row = docs.select(F.explode(F.arrays_zip(*shifted)).alias("z")).select("z.*")
+    ends = [F.col(f"w{n - 1}").isNotNull() for n in range(1, LONGEST + 1)]
+    each = [F.when(end, F.struct(F.lit(n).alias("n"), F.concat_ws(" ", *[f"w{k}" for k in range(n)]).alias("label"))) for n, end in enumerate(ends, 1)]
+    cells = row.select(F.explode(F.array(*each)).alias("g")).where("g is not null")
+    counted = cells.groupBy("g.n", "g.label").agg(F.count("*").alias("c"))
     order = Window.partitionBy("n").orderBy(F.desc("c"), "label")
     ranked = counted.withColumn("r", F.row_number().over(order)).where(F.col("r") <= TOP)
-    return ranked.select(F.concat_ws("_", F.lit("g"), F.col("n").cast("string"), F.col("r").cast("string")).alias("concept_id"), F.lit(0).alias("label_index"), "label")
+    terms = ranked.select(F.concat_ws("_", F.lit("g"), F.col("n").cast("string"), F.col("r").cast("string")).alias("concept_id"), F.lit(0).alias("label_index"), "label")
+    # a few hundred rows that index and filters read several times
+    return terms.persist()
 
 
 def plural_terms(labels: DataFrame) -> DataFrame:
