@@ -65,3 +65,17 @@ def test_held_out_accuracy(spark):
     fine = {i for i, q in every.items() if q == 1}
     junk = {i for i, q in every.items() if q == 0}
     assert len(fine & ruled) >= 0.95 * len(fine) and len(junk & ruled) <= 0.2 * len(junk)
+
+
+def test_held_out_toxic_documents():
+    """Even labels fit the model; odd ones measure toxic recall beside the share of good documents kept."""
+    path = "/root/testdata/sf0.1"
+    rows = duckdb.sql(f"""select doc_id, text, case when quality = 0 then 0 when coalesce(toxic, 0) <> 0 then 1 else 2 end as grade
+        from '{path}/documents.parquet' join '{path}/labels.parquet' using (doc_id) where quality is not null order by doc_id""").df()
+    half, rest = rows[rows.doc_id % 2 == 0], rows[rows.doc_id % 2 == 1]
+    model = quality_classifier.fit(half.text.tolist(), half.grade.to_numpy(), 0.005)
+    kept = model.score(rest.text.tolist()) >= model.threshold
+    grade = rest.grade.to_numpy()
+    assert kept[grade == 2].mean() >= 0.97 and kept[grade == 0].mean() <= 0.05 and kept[grade == 1].mean() <= 0.05
+    long = rest.text.str.split().str.len().to_numpy() > 1000
+    assert kept[(grade == 1) & long].mean() <= 0.1
