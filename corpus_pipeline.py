@@ -28,7 +28,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are brought to their target weights."""
-    return mixing.mixed_documents(docs, weights=mixing.WEIGHTS)
+    return mixing.mixed_documents(docs, weights=mixing.WEIGHTS, fraction=None)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

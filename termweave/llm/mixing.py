@@ -7,6 +7,9 @@ that runs out leaves its seats to the next highest. Each source's quota is then
 split over shards by the same rule, in proportion to the blocks the shards
 hold, and each shard picks that many of its blocks in a seeded order.
 
+With ``fraction=None`` there are no seats: the supply says how many tokens the
+weights allow, and each source's tokens are taken block by block.
+
 Only (id, source, tokens) take part in the windows; the driver sees one row per
 source and shard.
 """
@@ -78,7 +81,7 @@ def blocks(docs: DataFrame, block_tokens: int, shards: int) -> DataFrame:
 def mix(
     docs: DataFrame,
     weights: Mapping[str, float] | None = None,
-    fraction: float = FRACTION,
+    fraction: float | None = FRACTION,
     block_tokens: int = BLOCK_TOKENS,
     shards: int = SHARDS,
     seed: int = 17,
@@ -86,7 +89,11 @@ def mix(
 ) -> DataFrame:
     """(doc_id, source, tokens, shard, block) of the documents in the mixture.
 
-    ``fraction`` of all blocks is handed out. Sources that ``weights`` doesn't
+    ``fraction`` of all blocks is handed out, and the weights are missed where
+    a source runs out. ``fraction=None`` meets them in tokens: a source gives
+    its weight times the tokens per weight of the scarcest source that
+    ``weights`` names (of all sources if it names none), to half a block. A
+    source it doesn't name that has less gives all it has. Sources that ``weights`` doesn't
     name have ``default_weight``; weight 0 leaves a source out.
 
     Defined cases: null sources are the source ''; null ids are in shard 0;
@@ -99,6 +106,9 @@ def mix(
     spark = docs.sparkSession
     weights = dict(weights or {})
     placed = materialise(blocks(docs, block_tokens, shards), "blocks")
+    if fraction is None:
+        chosen = _to_weights(placed, weights, default_weight, seed)
+        return placed.join(chosen, ["shard", "source", "block"], "left_semi").select("doc_id", "source", "tokens", "shard", "block")
     seats = placed.select("shard", "source", "block").distinct()
     # one row per (source, shard): bounded by sources, not by documents
     held: dict[str, dict[int, int]] = {}
@@ -118,6 +128,36 @@ def mix(
     return placed.join(chosen, ["shard", "source", "block"], "left_semi").select("doc_id", "source", "tokens", "shard", "block")
 
 
+def _to_weights(placed: DataFrame, weights: Mapping[str, float], default_weight: float, seed: int) -> DataFrame:
+    """(shard, source, block) by token quotas that no named source falls short of.
+
+    A source's blocks are ordered by the share of their shard's tokens that
+    lies before them, so a prefix takes as much of every shard.
+    """
+    held = placed.groupBy("shard", "source", "block").agg(F.sum("tokens").alias("held"))
+    stock = {r["source"]: r["held"] for r in held.groupBy("source").agg(F.sum("held").alias("held")).toLocalIterator()}
+    weight = {s: float(weights.get(s, default_weight)) for s in stock}
+    live = [s for s in stock if weight[s] > 0 and stock[s] > 0]
+    per_weight = min((stock[s] / weight[s] for s in [s for s in live if s in weights] or live), default=0.0)
+    rows = [(s, min(float(stock[s]), weight[s] * per_weight)) for s in stock if weight[s] > 0]
+    quotas = placed.sparkSession.createDataFrame(rows, "source string, quota double")
+    shard = Window.partitionBy("shard", "source")
+    drawn = shard.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "shard", "source", "block")), "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    middle = F.sum("held").over(drawn) - F.col("held") / 2
+    spot = held.withColumn("spot", middle / F.greatest(F.sum("held").over(shard), F.lit(1)))
+    run = Window.partitionBy("source").orderBy("spot", "shard", "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    taken = spot.withColumn("middle", F.sum("held").over(run) - F.col("held") / 2).join(quotas, "source")
+    return taken.where("middle <= quota + 1e-6").select("shard", "source", "block")
+
+
+def shares(mixture: DataFrame, weights: Mapping[str, float] | None = None, default_weight: float = 1.0) -> list[tuple[str, int, float, float]]:
+    """(source, tokens, reached share, target share) of a mixture's sources."""
+    tokens = {r["source"]: r["tokens"] for r in mixture.groupBy("source").agg(F.sum("tokens").alias("tokens")).toLocalIterator()}
+    weight = {s: float((weights or {}).get(s, default_weight)) for s in tokens}
+    reached, target = sum(tokens.values()) or 1, sum(weight.values()) or 1
+    return [(s, tokens[s], tokens[s] / reached, weight[s] / target) for s in sorted(tokens, key=lambda s: s.encode())]
+
+
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` whose documents are in the mixture, all columns kept.
 

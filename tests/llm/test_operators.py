@@ -167,6 +167,21 @@ def test_mixing_awkward(awkward, empty):
     assert mixing.mixed_documents(awkward, fraction=1.0).columns == awkward.columns
 
 
+def test_token_shares_meet_the_weights(spark, awkward, empty):
+    """Scarce favoured sources, a hot source without a weight, one long document, one tiny source."""
+    rng = random.Random(12)
+    sizes = {"a": 300, "b": 300, "c": 300, "hot": 3000, "tiny": 2}
+    rows = [(source, prose(rng, rng.randint(20, 60))) for source, n in sizes.items() for _ in range(n)] + [("c", prose(rng, 1500))]
+    docs = spark.createDataFrame([(i, text, source) for i, (source, text) in enumerate(rows)], "doc_id long, text string, source string")
+    weights = {"a": 3.0, "b": 2.0, "none": 5.0}
+    got = {s: t for s, t, _, _ in mixing.shares(mixing.mix(docs, weights, fraction=None, block_tokens=100, shards=4), weights)}
+    stock = {s: t for s, t, _, _ in mixing.shares(mixing.blocks(docs, 100, 4))}
+    assert got["a"] == stock["a"] and got["tiny"] == stock["tiny"]
+    assert all(abs(got[s] / got["a"] * 3 - w) <= 0.05 for s, w in {"b": 2, "c": 1, "hot": 1}.items())
+    assert mixing.mix(empty, weights, fraction=None).count() == 0
+    assert {r.source for r in mixing.mix(awkward, {"s": 0.0}, fraction=None).collect()} == {""}
+
+
 # ------------------------------------------------------------------ 4 exact dedup
 
 
