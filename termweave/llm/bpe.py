@@ -9,7 +9,7 @@ just these two again. Merge order makes that check local, so a
 sequence whose neighbours all are compatible is the sequence that BPE makes.
 Positions found to be dead ends are remembered, so time is linear in the length.
 
-Pair checks and pre-tokens are memoised per worker.
+Pair checks and pre-tokens are memoised per worker, within bounds.
 """
 
 from __future__ import annotations
@@ -27,12 +27,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, spread
+from .common import Memo, claim, on_release, spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The public pre-token pattern that belongs to the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMO_WORDS = 200_000
+MEMO_WORDS = 40_000
+MEMO_PAIRS = 100_000
 ODD_SPACE = regex.compile(r"[^\S \n]").search
 
 
@@ -55,9 +56,9 @@ class Codec:
             if len(token) > 1:
                 self.parts[rank] = self._last_merge(token)
         self.shorter: dict[int, int] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.pieces = Memo(self._piece, MEMO_WORDS)
-        self.chunks = Memo(self._chunk, MEMO_WORDS)
+        self.pairs: dict[int, bool] = {}
+        self.pieces = Memo(self._piece, MEMO_WORDS, "bpe")
+        self.chunks = Memo(self._chunk, MEMO_WORDS, "bpe")
 
     def _last_merge(self, token: str) -> tuple[int, int]:
         """The two tokens whose merge makes ``token`` (itself, if nothing does)."""
@@ -80,10 +81,11 @@ class Codec:
         Undo the later of the two tokens step by step; a merge across the
         border that would have come earlier than the step undone makes it False.
         """
-        known = self.pairs.get((a, b))
+        pair = a << 32 | b
+        known = self.pairs.get(pair)
         if known is not None:
             return known
-        if len(self.pairs) > 1_000_000:
+        if len(self.pairs) >= MEMO_PAIRS:
             self.pairs.clear()
         left, right, limit = a, b, len(self.ranks) + 2
         result = True
@@ -106,7 +108,7 @@ class Codec:
                         break
             else:
                 break  # nothing left to undo
-        self.pairs[a, b] = result
+        self.pairs[pair] = result
         return result
 
     def next_shorter(self, token: int) -> int:
@@ -193,8 +195,12 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+on_release("bpe", codec.cache_clear)
+
+
 def _runner(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe")
         own = codec(path)
         for batch in batches:
             for start in range(0, batch.num_rows, 128):
@@ -242,6 +248,7 @@ def decode(tokens: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     @F.arrow_udf("string")
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        claim("bpe")
         own = codec(path)
         for batch in batches:
             yield pa.array([None if v is None else b"".join(own.bytes.get(i, b"") for i in v).decode("utf-8", "replace") for v in batch.to_pylist()], pa.string())

@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 import tempfile
 import uuid
+import weakref
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Ids up to which a table of them is broadcast (some 64 MB); beyond, joins shuffle.
+BROADCAST_IDS = 4_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,7 +50,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -51,16 +62,33 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def drop_tables(*tables: DataFrame) -> None:
+    """Delete what ``materialise`` wrote, once nothing reads it any more."""
+    for table in tables:
+        drop_path(table.sparkSession, table._written_to)
+
+
+_MEMOS: weakref.WeakSet = weakref.WeakSet()
+_RELEASES: list[tuple[str, Callable[[], object]]] = []
+_worker = {"owner": ""}
+
+
 class Memo(dict):
     """Results of ``make`` by key, in two generations of ``size`` entries each.
 
     When the young generation is full it becomes the old one; what is asked for
-    again moves back. Keys of 80 characters and more aren't kept.
+    again moves back. Keys of 80 characters and more aren't kept, so a memo
+    holds at most some 300 bytes times twice its size. Python workers outlive
+    tasks: ``claim`` frees the memos of operators that ran before.
     """
 
-    def __init__(self, make, size: int):
+    __hash__ = object.__hash__
+    __eq__ = object.__eq__
+
+    def __init__(self, make, size: int, owner: str = ""):
         super().__init__()
-        self.make, self.size, self.old = make, size, {}
+        self.make, self.size, self.owner, self.old = make, size, owner, {}
+        _MEMOS.add(self)
 
     def __missing__(self, key):
         found = self.old.get(key)
@@ -74,6 +102,47 @@ class Memo(dict):
         self[key] = found
         return found
 
+    def free(self) -> None:
+        self.clear()
+        self.old = {}
+
+
+def on_release(owner: str, free: Callable[[], object]) -> None:
+    """``free`` is called when another operator claims the worker."""
+    _RELEASES.append((owner, free))
+
+
+def claim(owner: str) -> None:
+    """Called where a task of ``owner`` starts: free what others hold in this worker.
+
+    Memos of other operators are emptied and freed memory goes back to the
+    system, so a chain of operators in reused workers needs no more memory than
+    the most demanding one.
+    """
+    if _worker["owner"] == owner:
+        return
+    _worker["owner"] = owner
+    for memo in list(_MEMOS):
+        if memo.owner != owner:
+            memo.free()
+    for other, free in _RELEASES:
+        if other != owner:
+            free()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """``ids``, a written table of narrow rows, marked for broadcast if small.
+
+    Its rows are counted first: up to ``BROADCAST_IDS`` they are sent to every
+    executor; beyond, the join shuffles both sides.
+    """
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
 
 def spread(table: DataFrame) -> DataFrame:
     """``table`` over all cores where its files have fewer splits than those.

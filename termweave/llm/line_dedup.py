@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_path, free_names, fresh_path
+from .common import claim, drop_path, free_names, fresh_path
 
 PROBES = 4
 BITS_PER_HASH = 12
@@ -76,6 +76,7 @@ def pack(hashes: np.ndarray, twice: np.ndarray, segments: int) -> Iterator[pa.Re
 
 def _packer(segments: int, flush: int = 1 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("line_dedup")
         held: list[np.ndarray] = []
         size = 0
 
@@ -139,6 +140,7 @@ def _probe_broadcast(spark: SparkSession, filters: DataFrame, segments: int):
 
     @F.arrow_udf("boolean")
     def suspect(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        claim("line_dedup")
         known = {s: Bloom(bits, data) for s, (bits, data) in shared.value.items()}
         for batch in batches:
             hashes = batch.to_numpy(zero_copy_only=False).view(np.uint64)

@@ -22,7 +22,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import few, free_names, materialise
 
 BLOCK_TOKENS = 4096
 SHARDS = 16
@@ -163,8 +163,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     A row stays if a row of its id is in the mixture; null ids stay if any did.
     """
-    ids = mix(docs, **options).select(F.col("doc_id").alias("_chosen")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_chosen"]), "left_semi")
+    (name,) = free_names(docs, "_chosen")
+    ids = materialise(mix(docs, **options).select(F.col("doc_id").alias(name)).distinct(), "chosen")
+    # texts stay where they lie while the ids can be sent to them
+    return docs.join(few(ids), F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_semi")
 
 
 WEIGHTS = {"src0": 3.0, "src1": 2.0, "src2": 2.0}

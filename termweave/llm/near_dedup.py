@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, fmix64, materialise, spread
+from .common import Memo, claim, drop_tables, few, fmix64, free_names, materialise, spread
 
 SHINGLE = 3
 BANDS, ROWS = 32, 5
@@ -41,7 +41,7 @@ GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _SPACES = bytes(c if (c >= 128 or chr(c).isalnum()) else 32 for c in range(256))
 
 
-_HASH = Memo(xxhash.xxh64_intdigest, 200_000)
+_HASH = Memo(xxhash.xxh64_intdigest, 60_000, "near_dedup")
 
 
 def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -138,6 +138,7 @@ def bands(signature: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("near_dedup")
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
             part = batch.slice(start, 256)
@@ -160,6 +161,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("near_dedup")
     for batch in batches:
         packed = []
         for text in batch.column(1).to_pylist():
@@ -194,29 +196,38 @@ def verified(pairs: DataFrame, packed: DataFrame, threshold: float) -> DataFrame
     return pairs.join(left, "a").join(right, "b").where(measure("pa", "pb") >= threshold).select("a", "b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def both_ways(edges: DataFrame) -> DataFrame:
+    return materialise(edges.union(edges.select("b", "a")).distinct(), "edges")
+
+
+def components(both: DataFrame) -> DataFrame:
     """(doc, label): label is the least id of the component. Isolated ids are absent.
 
-    Labels fall to the least among neighbours, then jump along labels; rounds
-    grow with the logarithm of a component's diameter.
+    ``both`` has each edge (a, b) both ways. Labels fall to the least among
+    neighbours, then jump along labels; rounds grow with the logarithm of a
+    component's diameter. The result is a written table.
     """
-    both = materialise(edges.union(edges.select("b", "a")).distinct(), "edges")
-    labels = materialise(both.groupBy(F.col("a").alias("doc")).agg(F.least(F.col("doc"), F.min("b")).alias("label")), "labels")
+    labels = materialise(both.groupBy(F.col("a").alias("doc")).agg(F.least(F.col("doc"), F.min("b")).alias("label"), F.lit(True).alias("moved")), "labels")
     while True:
-        near = both.join(labels.select(F.col("doc").alias("b"), F.col("label").alias("lb")), "b").groupBy("a").agg(F.min("lb").alias("lb"))
-        lower = labels.join(near.withColumnRenamed("a", "doc"), "doc").select("doc", F.least("label", "lb").alias("next"), "label")
-        jump = labels.select(F.col("doc").alias("next"), F.col("label").alias("far"))
+        known = labels.select("doc", "label")
+        near = both.join(known.select(F.col("doc").alias("b"), F.col("label").alias("lb")), "b").groupBy("a").agg(F.min("lb").alias("lb"))
+        lower = known.join(near.withColumnRenamed("a", "doc"), "doc").select("doc", F.least("label", "lb").alias("next"), "label")
+        jump = known.select(F.col("doc").alias("next"), F.col("label").alias("far"))
         moved = materialise(lower.join(jump, "next").select("doc", F.col("far").alias("label"), (F.col("far") != F.col("label")).alias("moved")), "labels")
-        labels = moved.select("doc", "label")
+        drop_tables(labels)
+        labels = moved
         if moved.where("moved").isEmpty():
             return labels
 
 
 def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, group_id) of all documents in groups of two or more.
+    """(doc_id, group_id, links) of all documents in groups of two or more.
 
     group_id is the least doc_id of the group. Groups are the connected
-    components of verified pairs. Defined cases: null ids, null and wordless
+    components of verified pairs. links counts the verified pairs that hold the
+    document; an exact copy is linked with the least of its copies alone, and
+    pairs whose ends other links join already needn't be verified. Defined
+    cases: null ids, null and wordless
     texts are in no group; rows that repeat an id are one document whose texts
     all count; texts of fewer than three words are one shingle; whole texts are
     taken however long; an empty table gives an empty result; only doc_id and
@@ -232,24 +243,32 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     key = Window.partitionBy("key")
     met = met.select("key", "doc", F.min("doc").over(key).alias("first"), F.max("doc").over(key).alias("last")).where("first < last").select("key", "doc", "first")
     met = materialise(met, "buckets")
-    wanted = met.select(F.col("doc").alias("doc_id")).distinct()
-    packed = materialise(slim.join(wanted, "doc_id", "left_semi").mapInArrow(_pack, "doc_id long, packed binary"), "packed")
+    drop_tables(signed)
+    wanted = materialise(met.select(F.col("doc").alias("doc_id")).distinct(), "wanted")
+    # texts are picked where they lie while the ids can be sent to them
+    packed = materialise(slim.join(few(wanted), "doc_id", "left_semi").mapInArrow(_pack, "doc_id long, packed binary"), "packed")
     star = met.where("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct()
     # one pair per document comes first; most others then join the same component
-    least = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    least = materialise(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "least")
     joined = materialise(verified(least, packed, threshold), "verified")
-    label = components(joined)
+    both = both_ways(joined)
+    label = components(both)
     named = materialise(
-        met.join(label.withColumnRenamed("label", "team"), "doc", "left").select("key", "doc", F.coalesce("team", "doc").alias("team")), "buckets"
+        met.join(label.select("doc", F.col("label").alias("team")), "doc", "left").select("key", "doc", F.coalesce("team", "doc").alias("team")), "buckets"
     )
+    drop_tables(both, label, met, wanted)
     teams = Window.partitionBy("key")
     apart = named.withColumn("lo", F.min("team").over(teams)).withColumn("hi", F.max("team").over(teams)).where("lo < hi")
     left = apart.select("key", F.col("doc").alias("a"), F.col("team").alias("ta"))
     right = apart.select("key", F.col("doc").alias("b"), F.col("team").alias("tb"))
     rest = left.join(right, "key").where("a < b and ta <> tb").select("a", "b").distinct().join(least, ["a", "b"], "left_anti")
-    edges = joined.union(verified(rest, packed, threshold))
-    final = components(edges.union(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))))
-    return final.select(F.col("doc").alias("doc_id"), F.col("label").alias("group_id"))
+    edges = joined.union(verified(rest, packed, threshold)).union(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
+    both = both_ways(edges)
+    final = components(both)
+    links = both.groupBy(F.col("a").alias("doc")).agg(F.count("*").alias("links"))
+    result = materialise(final.join(links, "doc").select(F.col("doc").alias("doc_id"), F.col("label").alias("group_id"), "links"), "groups")
+    drop_tables(copies, packed, least, joined, named, both, final)
+    return result
 
 
 def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -257,8 +276,10 @@ def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     Rows with null ids or texts stay. Rows that repeat an id share its fate.
     """
-    gone = groups(docs, threshold).where("doc_id <> group_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    (name,) = free_names(docs, "_gone")
+    gone = groups(docs, threshold).where("doc_id <> group_id").select(F.col("doc_id").alias(name))
+    # texts stay where they lie while the ids can be sent to them
+    return docs.join(few(gone), F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

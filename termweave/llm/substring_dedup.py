@@ -38,7 +38,7 @@ PASSAGE = 50
 ANCHOR = 25
 BATCHES = 3
 FANOUT = 4
-_HASH = Memo(xxhash.xxh64_intdigest, 200_000)
+_HASH = Memo(xxhash.xxh64_intdigest, 60_000, "substring_dedup")
 _STEP = np.uint64(0xD1342543DE82EF95)
 
 
