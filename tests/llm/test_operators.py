@@ -158,28 +158,60 @@ def test_apportionment_against_listing_quotients(parties, seats):
     assert mixing.sainte_lague(weights, stock, seats) == [expected[i] for i in range(len(parties))]
 
 
+@given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 12), st.booleans()), min_size=1, max_size=6))
+def test_reachable_against_listing_quotients(parties):
+    weights, stock, limits = [float(w) for w, _, _ in parties], [a for _, a, _ in parties], [on for _, _, on in parties]
+    offers = sorted((-w / (2 * k + 1), i, k) for i, (w, a) in enumerate(zip(weights, stock)) if w > 0 for k in range(a + 1))
+    count = 0
+    for _, i, k in offers:
+        if k == stock[i]:
+            if limits[i]:
+                break
+        else:
+            count += 1
+    assert mixing.reachable(weights, stock, limits) == count
+
+
 def test_mixing_awkward(awkward, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
-    whole = mixing.mix(awkward, fraction=1.0, block_tokens=50, shards=2)
-    assert whole.count() == awkward.count()
-    none = mixing.mix(awkward, {"s": 0.0}, fraction=1.0, block_tokens=50, shards=2)
-    assert {r.source for r in none.collect()} == {""}
-    assert mixing.mixed_documents(awkward, fraction=1.0).columns == awkward.columns
+    rows = mixing.mix(awkward, {"s": 0.0}, block_tokens=50, shards=2).collect()
+    assert {(r.source, r.doc_id, r.source_share, r.target_share) for r in rows} == {("", 7, 1.0, 1.0)}
+    # nothing but the source of most tokens is named: all of it and as much of the others as there is
+    assert mixing.mix(awkward, {"s": 1e6}, block_tokens=50, shards=2).where("source = 's'").count() == awkward.where("source = 's'").count()
+    assert mixing.mixed_documents(awkward).columns == awkward.columns
+    assert mixing.mix(awkward, seats=0).count() == 0
+
+
+def test_blocks_by_hand(spark):
+    """Streams in order of shard and id; a long document covers several blocks, an empty one none."""
+    rows = [(1, "a b c", "x"), (2, "a " * 24 + "b", "x"), (3, "", "x"), (4, "a b", "x"), (None, "a", "x"), (1, "a b c d", "y"), (4, "c", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((r.source, r.shard, -1 if r.doc_id is None else r.doc_id, r.tokens, r.before, r.block) for r in mixing.blocks(docs, 10, 2).collect())
+    assert got == [("x", 0, -1, 1, 0, 0), ("x", 0, 2, 25, 1, 0), ("x", 0, 4, 1, 26, 2), ("x", 0, 4, 2, 27, 2), ("x", 1, 1, 3, 29, 2), ("x", 1, 3, 0, 32, 3), ("y", 1, 1, 4, 0, 0)]
 
 
-def test_token_shares_meet_the_weights(spark, awkward, empty):
+def test_token_shares_meet_the_weights(spark):
     """Scarce favoured sources, a hot source without a weight, one long document, one tiny source."""
     rng = random.Random(12)
     sizes = {"a": 300, "b": 300, "c": 300, "hot": 3000, "tiny": 2}
     rows = [(source, prose(rng, rng.randint(20, 60))) for source, n in sizes.items() for _ in range(n)] + [("c", prose(rng, 1500))]
     docs = spark.createDataFrame([(i, text, source) for i, (source, text) in enumerate(rows)], "doc_id long, text string, source string")
-    weights = {"a": 3.0, "b": 2.0, "none": 5.0}
-    got = {s: t for s, t, _, _ in mixing.shares(mixing.mix(docs, weights, fraction=None, block_tokens=100, shards=4), weights)}
-    stock = {s: t for s, t, _, _ in mixing.shares(mixing.blocks(docs, 100, 4))}
-    assert got["a"] == stock["a"] and got["tiny"] == stock["tiny"]
-    assert all(abs(got[s] / got["a"] * 3 - w) <= 0.05 for s, w in {"b": 2, "c": 1, "hot": 1}.items())
-    assert mixing.mix(empty, weights, fraction=None).count() == 0
-    assert {r.source for r in mixing.mix(awkward, {"s": 0.0}, fraction=None).collect()} == {""}
+    mixture = mixing.mix(docs, {"a": 3.0, "b": 2.0, "none": 5.0}, block_tokens=100, shards=4)
+    got = {r["source"]: r["sum(tokens)"] for r in mixture.groupBy("source").sum("tokens").collect()}
+    stock = {r["source"]: r["sum(tokens)"] for r in mixing.blocks(docs, 100, 4).groupBy("source").sum("tokens").collect()}
+    assert got["a"] >= 0.97 * stock["a"] and got["tiny"] == stock["tiny"]
+    assert all(abs(got[s] / got["a"] * 3 - w) <= 0.1 for s, w in {"b": 2, "c": 1, "hot": 1}.items())
+    told = {r.source: r.source_share for r in mixture.select("source", "source_share").distinct().collect()}
+    assert all(abs(told[s] - got[s] / sum(got.values())) < 1e-5 for s in got)
+
+
+def test_token_shares_of_the_query(spark):
+    """Every source's share of the tokens is within a point of what the weights ask for."""
+    mixture = mixing.query(spark, "/root/testdata/sf0.1").groupBy("source", "source_share", "target_share").sum("tokens").collect()
+    total = sum(r["sum(tokens)"] for r in mixture)
+    assert len(mixture) > 10
+    for r in mixture:
+        assert abs(r["sum(tokens)"] / total - r.target_share) <= 0.01 and abs(r.source_share - r["sum(tokens)"] / total) < 1e-5
 
 
 # ------------------------------------------------------------------ 4 exact dedup
