@@ -10,6 +10,7 @@ published method) are content; neighbouring content lines form a region.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -24,87 +25,127 @@ RADIUS = 2
 SIGMA = 1.0
 LEVEL = 1.0
 SILENT = frozenset("script style head noscript template svg math iframe object select textarea".split())
+#: What may stand in a head, and elements whose content the parser takes raw.
+HEADED = frozenset("title meta link script style base noscript template".split())
+RAW = frozenset(("script", "style"))
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 
 
-class Lines(HTMLParser):
-    """Collects (text, tags) per line."""
+class Events(HTMLParser):
+    """Streams (kind, tag or data); kind is one of ``start empty end data``."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.texts: list[str] = []
-        self.tags: list[int] = []
-        self.held: list[str] = []
-        self.count = 0
-        self.silent: list[str] = []
-
-    def end_line(self) -> None:
-        text = " ".join("".join(self.held).split())
-        if text or self.count:
-            self.texts.append(text)
-            self.tags.append(self.count)
-        self.held, self.count = [], 0
+        self.found: list[tuple[str, str]] = []
 
     def handle_starttag(self, tag, attrs):
-        if self.silent:
-            if tag == "body" and self.silent == ["head"]:  # a head that was never closed
-                self.silent = []
-            else:
-                if tag in SILENT:
-                    self.silent.append(tag)
-                return
-        if tag in SILENT:
-            self.silent.append(tag)
-            return
-        if tag in BLOCK:
-            self.end_line()
-        self.count += 1
+        self.found.append(("start", tag))
 
     def handle_startendtag(self, tag, attrs):
-        if not self.silent:
-            if tag in BLOCK:
-                self.end_line()
-            self.count += 1
+        self.found.append(("empty", tag))
 
     def handle_endtag(self, tag):
-        if self.silent:
-            if tag in self.silent:
-                while self.silent.pop() != tag:
-                    pass
-            return
-        self.count += 1
-        if tag in BLOCK:
-            self.end_line()
+        self.found.append(("end", tag))
 
     def handle_data(self, data):
-        if self.silent:
-            return
-        first, *rest = data.split("\n")
-        self.held.append(first)
-        for line in rest:
-            if self.held and any(map(str.strip, self.held)):
-                self.end_line()
-            self.held.append(line)
+        self.found.append(("data", data))
 
 
-def lines(html: str) -> tuple[list[str], list[int]]:
-    """(text, number of tags) of each line; markup the parser rejects is text."""
-    parser = Lines()
+def events(html: str) -> list[tuple[str, str]]:
+    """The parser's events; markup the parser rejects is text."""
+    parser = Events()
     rest = html
     while True:
         try:
             parser.feed(rest)
             parser.close()
-            break
+            return parser.found
         except AssertionError:
             # a marked section that isn't one: step over its opening bracket
             rest = parser.rawdata[1:]
             parser.rawdata = ""
-    parser.end_line()
-    return parser.texts, parser.tags
+
+
+def silent_spans(found: list[tuple[str, str]]) -> list[int]:
+    """For each event that opens a silent element, the event that ends it.
+
+    An element ends at its end tag, or at that of a silent element around it; a
+    head also before the first element that may not stand in one. An element
+    that nothing ends is no silent one, as else a forgotten tag would swallow
+    the rest of the page; only unclosed scripts and styles reach to the end, as
+    in browsers. Entries of other events are -1.
+    """
+    ends = [-1] * len(found)
+    stack: list[tuple[str, int]] = []
+    open_: Counter[str] = Counter()
+    for i, (kind, tag) in enumerate(found):
+        if kind == "start":
+            if open_["head"] and tag not in HEADED:
+                # a noscript that the head leaves open doesn't keep it open
+                k = next(k for k, (t, _) in enumerate(stack) if t == "head")
+                if all(t in ("noscript", "head") for t, _ in stack[k:]):
+                    ends[stack[k][1]] = i - 1
+                    del stack[k]
+                    open_["head"] -= 1
+            if tag in SILENT:
+                stack.append((tag, i))
+                open_[tag] += 1
+        elif kind == "end" and open_[tag]:
+            while True:
+                t, at = stack.pop()
+                ends[at] = i
+                open_[t] -= 1
+                if t == tag:
+                    break
+    for tag, at in stack:
+        if tag in RAW:
+            ends[at] = len(found) - 1
+    return ends
+
+
+def lines(html: str) -> tuple[list[str], list[int]]:
+    """(text, number of tags) of each line."""
+    found = events(html)
+    ends = silent_spans(found)
+    texts: list[str] = []
+    tags: list[int] = []
+    held: list[str] = []
+    count = 0
+
+    def end_line() -> None:
+        nonlocal held, count
+        text = " ".join("".join(held).split())
+        if text or count:
+            texts.append(text)
+            tags.append(count)
+        held, count = [], 0
+
+    until = -1
+    for i, (kind, what) in enumerate(found):
+        if i <= until:
+            continue
+        if ends[i] >= 0:
+            until = ends[i]
+        elif kind == "data":
+            first, *rest = what.split("\n")
+            held.append(first)
+            for line in rest:
+                if any(map(str.strip, held)):
+                    end_line()
+                held.append(line)
+        elif kind == "end":
+            count += 1
+            if what in BLOCK:
+                end_line()
+        else:
+            if what in BLOCK:
+                end_line()
+            count += 1
+    end_line()
+    return texts, tags
 
 
 def smooth(ratios: np.ndarray, radius: int = RADIUS, sigma: float = SIGMA) -> np.ndarray:
@@ -140,8 +181,9 @@ def extracted(pages: DataFrame, radius: int = RADIUS, sigma: float = SIGMA, leve
 
     Defined cases: null html gives null text and regions; empty html, or html
     without text, gives '' and 0; html without tags is one region of all its
-    lines; unclosed and malformed tags are read as the parser reads them; null
-    ids and repeated rows pass row by row; whole pages are read however long; an
+    lines; malformed tags are read as the parser reads them; a silent element
+    (head, select, noscript and the like) that is never closed is read as any
+    other, see ``silent_spans``; null ids and repeated rows pass row by row; whole pages are read however long; an
     empty table gives an empty result; other columns are not read. No shuffle.
     """
 

@@ -97,19 +97,34 @@ def fit(texts: list[str], languages: list[str], smoothing: float = 0.5) -> Naive
     return NaiveBayes(names, np.ascontiguousarray(log.T), np.zeros(len(names)))
 
 
-def fit_on_table(docs: DataFrame, max_labelled: int = MAX_LABELLED, seed: int = 0, column: str = "lang") -> NaiveBayes:
-    """Fit on at most ``max_labelled`` labelled rows, drawn by a hash of the id.
+def sample(docs: DataFrame, max_labelled: int = MAX_LABELLED, seed: int = 0, column: str = "lang") -> DataFrame:
+    """(doc_id, label, text) of at most ``max_labelled`` labelled documents.
 
-    The draw takes whole texts. Every language gets the same share of the bound.
+    Ids are drawn by a hash, in equal parts per language (each at least one).
+    Rows that repeat an id and language are one document, its least text, so
+    the bound holds on rows. Whole texts are taken.
     """
     rows = docs.where(F.col(column).isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    order = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))
-    languages = max(1, rows.select(column).distinct().count())
-    each = Window.partitionBy(column).orderBy(order, "doc_id")
-    # only ids are ranked; Spark keeps each task's first ranks before it shuffles
-    chosen = rows.select("doc_id", column).withColumn("_place", F.row_number().over(each)).where(F.col("_place") <= max(1, max_labelled // languages)).select("doc_id").distinct()
-    sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "text", column).toPandas().sort_values(["doc_id", column], kind="stable")
-    return fit(sample["text"].tolist(), sample[column].tolist())
+    named = rows.select(F.col("doc_id").cast("string").alias("_key"), F.col(column).alias("label"))
+    # a row per language
+    known = {r["label"]: r["n"] for r in named.groupBy("label").agg(F.approx_count_distinct("_key").alias("n")).toLocalIterator()}
+    part = max(1, max_labelled // max(1, len(known)))
+    hashed = named.withColumn("_h", F.xxhash64(F.lit(seed), "_key"))
+    # hashes under this bound hold twice as many ids as are wanted: others can't be drawn, so they needn't be sorted
+    bounds = [(k, min(2**63 - 1, int(-(2**63) + 2**64 * (2 * part + 100) / max(1, n)))) for k, n in known.items()]
+    limits = docs.sparkSession.createDataFrame(bounds, f"label {docs.schema[column].dataType.simpleString()}, _most long")
+    near = hashed.join(F.broadcast(limits), "label").where("_h <= _most").select("label", "_h", "_key").distinct()
+    each = Window.partitionBy("label").orderBy("_h", "_key")
+    chosen = near.withColumn("_place", F.row_number().over(each)).where(F.col("_place") <= part).select("label", "_key")
+    texts = rows.select("doc_id", F.col("doc_id").cast("string").alias("_key"), F.col(column).alias("label"), F.col("text").cast("string").alias("text"))
+    # max_labelled rows of an id and a language, so they may be broadcast
+    return texts.join(F.broadcast(chosen), ["label", "_key"], "left_semi").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+
+
+def fit_on_table(docs: DataFrame, max_labelled: int = MAX_LABELLED, seed: int = 0, column: str = "lang") -> NaiveBayes:
+    """Fit on ``sample``; counts don't depend on the order of rows."""
+    rows = sample(docs, max_labelled, seed, column).toPandas()
+    return fit(rows["text"].tolist(), rows["label"].tolist())
 
 
 def identify(docs: DataFrame, model: NaiveBayes) -> DataFrame:

@@ -7,25 +7,34 @@ determinant; documents whose Mahalanobis distance is too large are rejected.
 
 The search runs C-steps over the whole table: distances to the present
 estimates, the quantile of the distances per group, then mean and covariance of
-the documents within it. Each step is two passes that leave one small row per
-task and group, so a group may be larger than any machine's memory. The start
-is the spatial-sign covariance around coordinatewise medians, which needs no
-random subsets. Only the vectors are read again, from a table in the shared
-folder. Documents of groups of fewer than ``min_group`` are judged by the
-estimates of their whole language, or of all documents if that is as small.
+the documents within it, until no group's determinant moves. Each step is two
+passes that leave one small row per task and group, so a group may be larger
+than any machine's memory. The start is the spatial-sign covariance around
+coordinatewise medians, which needs no random subsets. Only the vectors are read
+again, from a table in the shared folder.
+
+Estimates are made for each language and source, each language, and all
+documents. A document's distance is the mean of those to its group, its language
+and all: the group's counts by its number of documents against ``prior``
+documents of its language's, and the language's likewise against that of all. So
+a group of few documents is judged by what is known of its language, and there
+is no size at which the rule changes. The driver and every task hold one
+estimate (some 600 bytes) per group, so ``source`` must be a label of a corpus
+and not, say, a web address.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import warnings
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chi2_quantile, gamma_p, materialise, spread
+from .common import chi2_quantile, claim, drop_tables, gamma_p, materialise, spread
 
 STATS = ("log_words", "word_length", "symbols", "digits", "capitals", "distinct", "top_word", "line_words")
 DIM = len(STATS)
@@ -36,8 +45,10 @@ BINS = 2048
 SUPPORT = 0.7
 #: Vectors have heavier tails than normal ones, so only gross outliers go.
 CUT = 1 - 1e-12
-MIN_GROUP = 200
-STEPS = 6
+PRIOR = 200.0
+#: C-steps at most; groups settle in some ten. One that hasn't by then is named in a warning.
+STEPS = 60
+SETTLED = 1e-3
 #: Joins language and source to a key; numpy would strip a NUL at the end.
 JOIN = "\x1f"
 _CAPS, _DIGITS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"
@@ -93,8 +104,8 @@ def slim(docs: DataFrame) -> DataFrame:
 class Estimate:
     """Location and inverse scatter on coordinates scaled by ``scale``."""
 
-    def __init__(self, centre: np.ndarray, cov: np.ndarray, scale: np.ndarray):
-        self.centre, self.scale = centre, scale
+    def __init__(self, centre: np.ndarray, cov: np.ndarray, scale: np.ndarray, count: float = 0.0):
+        self.centre, self.scale, self.count = centre, scale, count
         # a ridge keeps coordinates that don't vary from deciding everything
         self.cov = cov + np.eye(len(centre)) * 0.05
         self.inverse = np.linalg.inv(self.cov)
@@ -104,6 +115,18 @@ class Estimate:
         return np.einsum("ij,jk,ik->i", z, self.inverse, z)
 
 
+class Pool:
+    """Weighted mean of squared distances: ``own`` by its documents against ``prior`` documents of ``parent``'s."""
+
+    def __init__(self, own: Estimate, parent: Estimate | Pool | None, prior: float):
+        self.own, self.parent = own, parent
+        self.share = own.count / (own.count + prior) if parent else 1.0
+
+    def distance(self, x: np.ndarray) -> np.ndarray:
+        near = self.share * self.own.distance(x)
+        return near + (1 - self.share) * self.parent.distance(x) if self.parent else near
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, DIM)
 
@@ -124,22 +147,25 @@ def edge(b: int) -> float:
     return 2.0 ** ((b + 1) * 60 / BINS - 20) - 2.0**-20
 
 
-def summed(grouped: DataFrame, work, width: int) -> dict[str, np.ndarray]:
-    """Sum over the table of ``work(key, x)`` (an array of ``width``) per group.
+def summed(grouped: DataFrame, work: Callable[[str, np.ndarray], np.ndarray | None], finish: Callable[[np.ndarray], np.ndarray] = lambda v: v) -> dict[str, np.ndarray]:
+    """``finish`` of the sum over the table of ``work(key, x)`` per group.
 
-    Tasks sum their own rows first; the driver sees one row per group.
+    Tasks sum their own rows first; reducers add up and finish, so the driver
+    sees one small row per group. Where ``work`` gives None the group is left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality_rules")
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             for key, x in by_group(batch):
-                total[key] = total.get(key, 0) + work(key, x)
+                if (found := work(key, x)) is not None:
+                    total[key] = total.get(key, 0) + found
         if total:
             yield pa.record_batch({"key": pa.array(list(total), pa.string()), "v": pa.array([v.astype(float).tobytes() for v in total.values()], pa.binary())})
 
     def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        v = sum(np.frombuffer(b) for b in table["v"].to_pylist())
+        v = finish(sum(np.frombuffer(b) for b in table["v"].to_pylist()))
         return pa.table({"key": pa.array([key[0].as_py()], pa.string()), "v": pa.array([v.tobytes()], pa.binary())})
 
     parts = grouped.mapInArrow(run, "key string, v binary").groupBy("key").applyInArrow(add, "key string, v binary")
@@ -156,25 +182,17 @@ def from_moments(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mean, q / n - np.outer(mean, mean)
 
 
-def group_keys(table: DataFrame, min_group: int) -> DataFrame:
-    """(doc_id, x, key, keys) of the rows with words.
+WHOLE = JOIN * 3
+
+
+def language_key(lang: str) -> str:
+    return lang + JOIN * 2
 
-    ``key`` is the group whose estimates judge the row: its language and source,
-    or its whole language, or the whole table where that is too small. ``keys``
-    are the groups whose estimates the row takes part in.
-    """
-    named = table.where("x is not null")
-    both, lang, whole = F.concat_ws(JOIN, "lang", "source"), F.concat("lang", F.lit(JOIN * 2)), F.lit(JOIN * 3)
-    counts = named.groupBy("lang", "source").count()
-    # a row per language and source; windows over it are small
-    of_lang, of_all = Window.partitionBy("lang"), Window.partitionBy(F.lit(0))
-    key = F.when(F.col("count") >= min_group, both).when(F.sum("count").over(of_lang) >= min_group, lang).otherwise(whole)
-    chosen = counts.withColumn("key", key)
-    in_lang = F.max(F.col("key") == lang).over(of_lang)
-    in_all = F.max(F.col("key") == whole).over(of_all)
-    keys = F.array_compact(F.array(F.when(F.col("key") == both, both), F.when(in_lang, lang), F.when(in_all, whole)))
-    groups = chosen.select("lang", "source", "key", keys.alias("keys"))
-    return named.join(groups, ["lang", "source"]).select("doc_id", "x", "key", "keys")
+
+def group_keys(table: DataFrame) -> DataFrame:
+    """(doc_id, x, lang, source) of the rows with words, and ``keys``: the groups whose estimates a row takes part in."""
+    keys = F.array(F.concat_ws(JOIN, "lang", "source"), F.concat("lang", F.lit(JOIN * 2)), F.lit(WHOLE))
+    return table.where("x is not null").select("doc_id", "x", "lang", "source", keys.alias("keys"))
 
 
 def fit(grouped: DataFrame, support: float = SUPPORT, steps: int = STEPS) -> dict[str, Estimate]:
@@ -192,29 +210,37 @@ def fit(grouped: DataFrame, support: float = SUPPORT, steps: int = STEPS) -> dic
         return moments(z / np.maximum(np.sqrt((z**2).sum(1, keepdims=True)), 1e-9))
 
     estimates = {}
-    for key, v in summed(rows, sign, 1 + DIM + DIM * DIM).items():
+    for key, v in summed(rows, sign).items():
         centre, scale = start[key]
-        estimates[key] = Estimate(centre, (v[1 + DIM :].reshape(DIM, DIM) / v[0]) * DIM, scale)
+        estimates[key] = Estimate(centre, (v[1 + DIM :].reshape(DIM, DIM) / v[0]) * DIM, scale, v[0])
+
+    def quantile(histogram: np.ndarray) -> np.ndarray:
+        return np.array([edge(int(np.searchsorted(np.cumsum(histogram), support * histogram.sum())))])
+
     last: dict[str, float] = {}
+    moving = set(estimates)
     for _ in range(steps):
-        fixed = estimates
-        histogram = summed(rows, lambda k, x: np.bincount(level(fixed[k].distance(x)), minlength=BINS), BINS)
-        cut = {k: edge(int(np.searchsorted(np.cumsum(h), support * h.sum()))) for k, h in histogram.items()}
+        if not moving:
+            break
+        fixed = {k: estimates[k] for k in moving}
+        cut = summed(rows, lambda k, x: np.bincount(level(fixed[k].distance(x)), minlength=BINS) if k in fixed else None, quantile)
 
         def inner(key, x):
+            if key not in fixed:
+                return None
             own = fixed[key]
-            return moments((x[own.distance(x) <= cut[key]] - own.centre) / own.scale)
+            return moments((x[own.distance(x) <= cut[key][0]] - own.centre) / own.scale)
 
-        estimates, settled = {}, True
-        for key, v in summed(rows, inner, 1 + DIM + DIM * DIM).items():
+        for key, v in summed(rows, inner).items():
             old = fixed[key]
             mean, cov = from_moments(v)
-            estimates[key] = Estimate(old.centre + mean * old.scale, cov, old.scale)
+            estimates[key] = Estimate(old.centre + mean * old.scale, cov, old.scale, old.count)
             now = float(np.linalg.slogdet(estimates[key].cov)[1])
-            settled &= abs(now - last.get(key, math.inf)) < 1e-3
+            if abs(now - last.get(key, math.inf)) < SETTLED:
+                moving.discard(key)
             last[key] = now
-        if settled:
-            break
+    if moving:
+        warnings.warn(f"no settled determinant after {steps} steps: {sorted(moving)[:5]}", stacklevel=2)
     # the covariance of the inner part is too small by a known factor if the rest is normal
     inner_chi = chi2_quantile(support, DIM)
     factor = support / gamma_p(DIM / 2 + 1, inner_chi / 2)
@@ -223,11 +249,20 @@ def fit(grouped: DataFrame, support: float = SUPPORT, steps: int = STEPS) -> dic
     return estimates
 
 
-def distances(docs: DataFrame, support: float = SUPPORT, min_group: int = MIN_GROUP) -> DataFrame:
+def judges(estimates: dict[str, Estimate], prior: float) -> dict[str, Pool]:
+    """What judges each language and source: its own estimate with its language's and that of all."""
+    if not estimates:
+        return {}
+    whole = Pool(estimates[WHOLE], None, prior)
+    spoken = {k: Pool(e, whole, prior) for k, e in estimates.items() if k.endswith(JOIN * 2) and k != WHOLE}
+    return {k: Pool(e, spoken[language_key(k.split(JOIN)[0])], prior) for k, e in estimates.items() if k != WHOLE and k not in spoken}
+
+
+def distances(docs: DataFrame, support: float = SUPPORT, prior: float = PRIOR) -> DataFrame:
     """(doc_id, distance): squared robust distance, null without words."""
     table = materialise(vectors(docs), "vectors")
-    grouped = materialise(group_keys(table, min_group), "groups")
-    shared = docs.sparkSession.sparkContext.broadcast(fit(grouped.select(F.explode("keys").alias("key"), "x"), support))
+    grouped = group_keys(table)
+    shared = docs.sparkSession.sparkContext.broadcast(judges(fit(grouped.select(F.explode("keys").alias("key"), "x"), support), prior))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,10 +271,14 @@ def distances(docs: DataFrame, support: float = SUPPORT, min_group: int = MIN_GR
                 out[keys == key] = shared.value[key].distance(x[keys == key])
             yield pa.record_batch({"doc_id": batch.column(2), "distance": pa.array(np.round(out, 6))})
 
-    return grouped.select("key", "x", "doc_id").mapInArrow(run, "doc_id long, distance double")
+    judged = grouped.select(F.col("keys")[0].alias("key"), "x", "doc_id").mapInArrow(run, "doc_id long, distance double")
+    wordless = table.where("x is null").select("doc_id", F.lit(None).cast("double").alias("distance"))
+    found = materialise(judged.unionByName(wordless), "distances")
+    drop_tables(table)
+    return found
 
 
-def kept(docs: DataFrame, cut: float = CUT, support: float = SUPPORT, min_group: int = MIN_GROUP) -> DataFrame:
+def kept(docs: DataFrame, cut: float = CUT, support: float = SUPPORT, prior: float = PRIOR) -> DataFrame:
     """(doc_id, distance) of the documents within the cut.
 
     Kept: distance at most the ``cut`` quantile of chi-squared with ``DIM``
@@ -248,7 +287,7 @@ def kept(docs: DataFrame, cut: float = CUT, support: float = SUPPORT, min_group:
     rows pass row by row; ties at the cut stay; whole texts are read however
     long; an empty table gives an empty result; other columns are not read.
     """
-    return distances(docs, support, min_group).where(F.col("distance") <= chi2_quantile(cut, DIM))
+    return distances(docs, support, prior).where(F.col("distance") <= chi2_quantile(cut, DIM))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

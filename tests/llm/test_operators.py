@@ -1,11 +1,15 @@
 """Each operator on awkward tables, and against brute force where SQL can't say it."""
 
 import collections
+import html
+import math
 import random
+import re
 
 import numpy as np
 import pytest
 import xxhash
+from conftest import SMALL
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -334,6 +338,76 @@ def test_html_edges(page, expected):
     assert html_extract.extract(page) == expected
 
 
+WORDS = " ".join(PROSE * 3)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><head><title>x</title><p>{WORDS}</p></html>",
+        f"<head><meta charset=utf-8><noscript><link href=x><p>{WORDS}</p>",
+        f"<head><noscript><style>p{{}}</style><body><p>{WORDS}</p></body>",
+        f"<body><select><option>one<p>{WORDS}</p></body>",
+        f"<body><noscript><p>{WORDS}</p><select><option>a</select></body>",
+        f"<body><object data=x><div><p>{WORDS}</p></div></body>",
+        f"<head><template><p>never shown</p></template><svg><text>1</text></svg><p>{WORDS}</p>",
+    ],
+)
+def test_unclosed_silent_elements_swallow_nothing(page):
+    text, regions = html_extract.extract(page)
+    assert WORDS in text and regions >= 1 and "never shown" not in text
+
+
+@pytest.mark.parametrize("page", [f"<body><noscript><p>{WORDS}</p></noscript><p>x</p>", f"<p>x</p><object><select>{WORDS}</object>", f"<p>x</p><style>{WORDS}"])
+def test_closed_silent_elements_stay_silent(page):
+    assert WORDS not in html_extract.extract(page)[0]
+
+
+def plain_extract(page):
+    """Regular expressions and loops for well-formed pages."""
+    page = re.sub(r"<!--.*?-->|<!doctype[^>]*>", "", page, flags=re.S | re.I)
+    for tag in html_extract.SILENT:
+        page = re.sub(rf"<{tag}\b[^>]*>.*?</{tag}\s*>", "", page, flags=re.S | re.I)
+    rows, text, tags = [], "", 0
+
+    def end():
+        nonlocal text, tags
+        if text.split() or tags:
+            rows.append((" ".join(text.split()), tags))
+        text, tags = "", 0
+
+    for piece in re.findall(r"<[^>]*>|\n|[^<\n]+", page):
+        if piece.startswith("<"):
+            block = re.match(r"</?\s*(\w+)", piece)[1].lower() in html_extract.BLOCK
+            if block and piece[1] != "/":
+                end()
+            tags += 1
+            if block and piece[1] == "/":
+                end()
+        elif piece == "\n":
+            if text.strip():
+                end()
+            text += " "
+        else:
+            text += html.unescape(piece)
+    end()
+    ratio = [math.log(1 + len(t) / max(1, n)) for t, n in rows]
+    kernel = {k: math.exp(-k * k / 2) for k in range(-2, 3)}
+    even = []
+    for i in range(len(ratio)):
+        near = [k for k in kernel if 0 <= i + k < len(ratio)]
+        even.append(sum(kernel[k] * ratio[i + k] for k in near) / sum(kernel[k] for k in near))
+    mean = sum(even) / max(1, len(even))
+    cut = math.sqrt(sum((e - mean) ** 2 for e in even) / max(1, len(even)))
+    return "\n".join(t for (t, _), r, e in zip(rows, ratio, even) if t and e >= cut and r >= cut)
+
+
+def test_pages_against_plain_extraction(spark):
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
+    rows = html_extract.query(spark, SMALL).collect()
+    assert len(rows) == len(pages) and sum(r.text == plain_extract(pages[r.page_id]) for r in rows) == len(rows)
+
+
 @given(st.text(alphabet="<>/!-[]?=\"' abp\n&;#", max_size=60))
 def test_html_takes_anything(page):
     html_extract.extract(page)
@@ -416,7 +490,7 @@ def test_mcd_against_plain_numpy(spark):
     x = rng.normal(size=(600, quality_rules.DIM)) @ rng.normal(size=(quality_rules.DIM, quality_rules.DIM)) + 5
     x[:120] += 40
     rows = spark.createDataFrame([("k", v.tolist()) for v in x], "key string, x array<double>")
-    got = quality_rules.fit(rows, support=0.7, steps=40)["k"]
+    got = quality_rules.fit(rows)["k"]
     # C-steps by hand from the same start, with exact order statistics
     centre, scale = np.median(x, 0), np.maximum((np.percentile(x, 75, axis=0) - np.percentile(x, 25, axis=0)) / 1.349, quality_rules.FLOOR)
     z = (x - centre) / scale
@@ -436,7 +510,53 @@ def test_chi_squared():
 
 def test_rules_awkward(spark, awkward, empty):
     assert quality_rules.kept(empty).count() == 0
-    assert {r.doc_id for r in quality_rules.distances(awkward).collect()} == {None, 1, 2, 6, 7, 8, 9, 10}
+    rows = quality_rules.distances(awkward).collect()
+    assert len(rows) == awkward.count()
+    assert {r.doc_id for r in rows if r.distance is not None} == {None, 1, 2, 6, 7, 8, 9, 10}
+    assert {r.doc_id for r in rows if r.distance is None} == {None, 3, 4, 5}
+
+
+def test_a_group_is_drawn_to_its_language_by_its_size():
+    one = lambda c, n: quality_rules.Estimate(np.full(quality_rules.DIM, c), np.eye(quality_rules.DIM), np.ones(quality_rules.DIM), n)
+    for n, share in ((0, 0.0), (100, 0.5), (300, 0.75), (1e12, 1.0)):
+        pool = quality_rules.Pool(one(4.0, n), quality_rules.Pool(one(0.0, 5), None, 100), 100)
+        assert pool.distance(np.zeros((1, quality_rules.DIM)))[0] == pytest.approx(quality_rules.DIM * 16 * share / 1.05)
+
+
+def test_rules_query_against_plain_numpy(spark):
+    """All of sf0.001: estimates with exact order statistics, blended and applied row by row."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
+    by = collections.defaultdict(list)
+    for r in docs:
+        if r.text and (x := quality_rules.statistics(r.text)):
+            for key in ((r.lang or "", r.source or ""), (r.lang or "",), ()):
+                by[key].append(x)
+
+    def estimate(x):
+        centre, scale = np.median(x, 0), np.maximum((np.percentile(x, 75, axis=0) - np.percentile(x, 25, axis=0)) / 1.349, quality_rules.FLOOR)
+        z = (x - centre) / scale
+        z /= np.maximum(np.sqrt((z**2).sum(1, keepdims=True)), 1e-9)
+        own = quality_rules.Estimate(centre, z.T @ z / len(z) * quality_rules.DIM, scale)
+        for _ in range(60):
+            inner = x[np.argsort(own.distance(x))[: max(1, int(np.ceil(quality_rules.SUPPORT * len(x))))]]
+            own = quality_rules.Estimate(inner.mean(0), np.cov((inner / scale).T, bias=True).reshape(quality_rules.DIM, -1), scale, len(x))
+        own.inverse = np.linalg.inv(own.cov * quality_rules.SUPPORT / common.gamma_p(quality_rules.DIM / 2 + 1, common.chi2_quantile(quality_rules.SUPPORT, quality_rules.DIM) / 2))
+        return own
+
+    plain = {k: estimate(np.array(x)) for k, x in by.items()}
+    spoken = {k: quality_rules.Pool(e, plain[()], quality_rules.PRIOR) for k, e in plain.items() if len(k) == 1}
+    cut = common.chi2_quantile(quality_rules.CUT, quality_rules.DIM)
+    expected = {}
+    for r in docs:
+        if r.text and (x := quality_rules.statistics(r.text)):
+            key = (r.lang or "", r.source or "")
+            expected[r.doc_id] = quality_rules.Pool(plain[key], spoken[key[:1]], quality_rules.PRIOR).distance(np.array([x]))[0]
+    got = {r.doc_id: r.distance for r in quality_rules.distances(spark.read.parquet(f"{SMALL}/documents.parquet")).where("distance is not null").collect()}
+    assert got.keys() == expected.keys()
+    # quantiles are binned in the query, so sets may differ by a row
+    near = [i for i in got if abs(np.log(got[i] + 1) - np.log(expected[i] + 1)) < 0.25]
+    assert len(near) >= 0.95 * len(got)
+    assert sum((got[i] <= cut) != (expected[i] <= cut) for i in got) <= 0.02 * len(got)
 
 
 def test_rules_reject_junk(spark):
@@ -471,6 +591,91 @@ def test_ranking_awkward(spark, awkward, empty, labels):
     assert set(quality_classifier.ranked(awkward, labels).columns) == {"doc_id", "score"}
 
 
+def test_ranking_fit_against_plain_loops():
+    """The same pairs, one slot at a time."""
+    rng = random.Random(13)
+    texts = [prose(rng, rng.randint(5, 40)) + (" cheap cheap win" if i % 3 == 0 else " odious" if i % 3 == 1 else "") for i in range(60)]
+    grade = np.array([i % 3 for i in range(60)])
+    got = quality_classifier.fit(texts, grade, 0.05, seed=3, epochs=1, pairs_per_epoch=640, min_documents=2)
+    draw = np.random.default_rng(3)
+    dense, slots = quality_classifier.featurise(texts)
+    x = (dense - dense.mean(0)) / (dense.std(0) + 1e-6)
+    held = quality_classifier.hold_out(grade, draw)
+    assert [int(held[grade == k].sum()) for k in range(3)] == [5, 5, 5]
+    train = [i for i in range(60) if not held[i]]
+    seen = collections.Counter(s for i in train for s in slots[i])
+    slots = [[s for s in row if seen[s] >= 2] for row in slots]
+    good, bad = [i for i in train if grade[i] == 2], [[i for i in train if grade[i] == k] for k in (0, 1)]
+    wd, gd, ww, gw = np.zeros(x.shape[1]), np.full(x.shape[1], 1e-8), collections.defaultdict(float), collections.defaultdict(lambda: 1e-2)
+    for _ in range(10):
+        a = draw.choice(good, 64)
+        b = [bad[k][draw.integers(len(bad[k]))] for k in draw.integers(0, 2, 64)]
+        step, stepd = collections.defaultdict(float), -1e-5 * wd
+        for i, j in zip(a, b):
+            margin = (x[i] - x[j]) @ wd + sum(ww[s] for s in slots[i]) - sum(ww[s] for s in slots[j])
+            pull = 1 / (1 + math.exp(margin))
+            stepd = stepd + (x[i] - x[j]) * pull / 64
+            for s in slots[i]:
+                step[s] += pull / 64
+            for s in slots[j]:
+                step[s] -= pull / 64
+        gd += stepd**2
+        wd = wd + 0.15 * stepd / np.sqrt(gd)
+        for s, v in step.items():
+            v -= 1e-5 * ww[s]
+            gw[s] += v * v
+            ww[s] += 0.075 * v / math.sqrt(gw[s])
+    assert got.dense == pytest.approx(wd, abs=1e-8)
+    assert got.words[sorted(ww)] == pytest.approx([ww[s] for s in sorted(ww)], abs=1e-6) and np.count_nonzero(got.words) <= len(ww)
+    scores = [x[i] @ wd + sum(ww[s] for s in slots[i]) for i in range(60) if held[i] and grade[i] == 2]
+    assert got.threshold == pytest.approx(np.quantile(scores, 0.05), abs=1e-6)
+
+
+def test_ranking_query_against_plain_scores(spark):
+    """Every document of sf0.001, scored one by one by the model of the same labels."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    grades = {}
+    for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect():
+        grades[r.doc_id] = min(grades.get(r.doc_id, 2), 0 if r.quality == 0 else 1 if r.toxic else 2)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    known = sorted(i for i in grades if texts.get(i) is not None)
+    model = quality_classifier.fit([texts[i] for i in known], np.array([grades[i] for i in known]), 0.005)
+    expected = {}
+    for i, text in texts.items():
+        if text and text.strip():
+            dense, slots = quality_classifier.featurise([text])
+            score = float(((dense[0] - model.mean) / model.scale) @ model.dense) + sum(float(model.words[s]) for s in slots[0])
+            toxic = sum(w for m, w in model.toxicity.weights.items() if m in set(quality_classifier.marks(text)))
+            if score >= model.threshold and toxic >= model.toxicity.threshold:
+                expected[i] = score
+    got = {r.doc_id: r.score for r in quality_classifier.query(spark, SMALL).collect()}
+    assert got.keys() == expected.keys() and all(abs(got[i] - expected[i]) < 1e-3 for i in got)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5])
+def test_ranking_with_few_labels(n):
+    """No number of labels switches the ranking off but none of a kind."""
+    texts = [f"good words here {i}" for i in range(n)] + [f"cheap win now {i}" for i in range(n)]
+    model = quality_classifier.fit(texts, np.array([2] * n + [0] * n), 0.0, epochs=1, min_documents=1)
+    score = model.score(["good words here", "cheap win now"])
+    assert score[0] > score[1]
+
+
+def test_labelling_bounds_hold_on_rows(spark):
+    """An id on 3,000 rows is one document, and which text is its own doesn't hang on their order."""
+    rows = [(1, f"text {i}", "en") for i in range(3000)] + [(i, f"other {i}", "fr") for i in range(2, 40)]
+    known = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 40)], "doc_id long, quality int, toxic int")
+    found = []
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, lang string").repartition(3)
+        one, two = (t.collect() for t in (quality_classifier.sample(docs, known, 10), language_id.sample(docs, 10)))
+        assert len(one) <= 10 and len(two) <= 10
+        found.append((sorted(map(tuple, one)), sorted(map(tuple, two))))
+        every = quality_classifier.sample(docs, known, 100).where("doc_id = 1").collect()
+        assert [tuple(r) for r in every] == [(1, "text 0", 2)] and [tuple(r) for r in language_id.sample(docs, 10).where("doc_id = 1").collect()] == [(1, "en", "text 0")]
+    assert found[0] == found[1]
+
+
 # ------------------------------------------------------------------ 10 language ID
 
 SPEECH = {"en": "the quick brown fox jumps over the lazy dog and then it sleeps", "fr": "le renard brun saute par dessus le chien paresseux et puis il dort", "de": "der schnelle braune fuchs springt über den faulen hund und schläft dann"}
@@ -486,6 +691,34 @@ def test_scores_against_direct_sums():
         assert s == pytest.approx(model.weights[columns].astype(float).sum(0) + model.prior, rel=1e-6)
 
 
+def test_language_fit_against_counts():
+    model = language_id.fit(list(SPEECH.values()) + ["dog"], [*SPEECH, "en"], smoothing=0.5)
+    counts = {k: collections.Counter() for k in SPEECH}
+    for text, k in zip([*SPEECH.values(), "dog"], [*SPEECH, "en"]):
+        for part in language_id.slots(text):
+            counts[k].update(part.tolist())
+    assert model.languages == sorted(SPEECH)
+    for j, k in enumerate(model.languages):
+        total = sum(counts[k].values()) + 0.5 * language_id.SLOTS
+        assert model.weights[:, j] == pytest.approx([math.log((counts[k][c] + 0.5) / total) for c in range(language_id.SLOTS)], rel=1e-5)
+
+
+def test_language_query_against_plain_sums(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
+    named = [r for r in docs if r.lang is not None and r.text is not None]
+    model = language_id.fit([r.text for r in named], [r.lang for r in named])
+    got = {r.doc_id: (r.language, r.margin) for r in language_id.query(spark, SMALL).collect()}
+    assert len(got) == len(docs)
+    for r in docs:
+        parts = np.concatenate([*language_id.slots(r.text or ""), np.zeros(0, np.int32)])
+        if not len(parts):
+            assert got[r.doc_id] == (None, None)
+            continue
+        score = model.weights[parts].astype(float).sum(0)
+        first, second = sorted(score)[::-1][:2]
+        assert got[r.doc_id][0] == model.languages[int(score.argmax())] and got[r.doc_id][1] == pytest.approx((first - second) / len(parts), abs=2e-6)
+
+
 def test_long_texts_are_whole(monkeypatch):
     text = prose(random.Random(11), 500)
     whole = np.bincount(np.concatenate(list(language_id.slots(text))), minlength=language_id.SLOTS)
