@@ -1,6 +1,7 @@
 """Root functions: tokens with equal roots match each other.
 
-A root function maps a token column to a root column. ``lower``, ``identity``,
+A root function maps a token column to a root column; its attribute ``plain``,
+where it has one, maps one token alike. ``lower``, ``identity``,
 ``s_stem`` and ``soundex`` stay in the JVM; ``snowball`` and ``metaphone`` are
 Arrow UDFs that remember the tokens a worker has seen.
 """
@@ -42,6 +43,20 @@ def s_stem(token: Column) -> Column:
     )
 
 
+def _s_stem(token: str) -> str:
+    t = token.lower()
+    if t.endswith("ies") and not t.endswith(("eies", "aies")):
+        return t[:-3] + "y"
+    if t.endswith("es") and not t.endswith(("aes", "ees", "oes")):
+        return t[:-1]
+    return t[:-1] if t.endswith("s") and not t.endswith(("us", "ss")) else t
+
+
+identity.plain = str
+lower.plain = str.lower
+s_stem.plain = _s_stem
+
+
 def soundex(token: Column) -> Column:
     return F.soundex(token)
 
@@ -64,6 +79,7 @@ def _memoised(make: Callable[[str], str]) -> Root:
 
         return run(token)
 
+    root.plain = make
     return root
 
 

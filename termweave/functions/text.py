@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,6 +81,11 @@ def last_piece(word_pieces: Column) -> Column:
     return F.transform(word_pieces, lambda p: F.element_at(p, -1))
 
 
+def last_words(cut: Callable[[str], list[str]], terms: Sequence[str]) -> list[str]:
+    """The last piece of each term; terms without pieces are left out."""
+    return sorted({found[-1] for term in terms if (found := cut(term))})
+
+
 def piece_spans(word_pieces: Column, text: Column, offset: int = 0) -> Column:
     """array<struct<start,end>> of word pieces in ``text``.
 

@@ -10,11 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def embed_labels(labels: DataFrame, make: Callable[[], Callable[[list[str]], list[tuple[list[str], np.ndarray]]]], batch_size: int = 32) -> DataFrame:
+#: Builds a function from labels to each one's tokens and their vectors (tokens x dimensions).
+MakeEmbedder = Callable[[], Callable[[list[str]], list[tuple[list[str], np.ndarray]]]]
+
+
+def embed_labels(labels: DataFrame, make: MakeEmbedder, batch_size: int = 32) -> DataFrame:
     """(concept_id, label_index, tokens, vectors, pooled) of labels.
 
-    ``make`` builds an embedder once per task; it takes a list of labels and
-    returns each one's tokens and their vectors (tokens x dimensions).
+    ``make`` builds an embedder once per task, which is given ``batch_size``
+    labels at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -60,7 +60,7 @@ def _least_distance(mentions: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[p
         yield pa.array(out, pa.int32())
 
 
-def levenshtein_filter(index: Index, theta: float = 0.85, key: str = "doc_id") -> AnnotationFilter:
+def label_filter(labels: DataFrame, theta: float = 0.85, key: str = "doc_id", hint: Callable[[DataFrame], DataFrame] = lambda table: table) -> AnnotationFilter:
     """Keep annotations of several tokens, and of one if near a label.
 
     Near means ``1 - d > theta`` for the least edit distance d between the
@@ -68,12 +68,12 @@ def levenshtein_filter(index: Index, theta: float = 0.85, key: str = "doc_id") -
     theta 0 up only equality will do and from 1 up nothing; below 0 distances are
     computed. The result is a set: see ``distinct_annotations``.
     """
-    labels = index.labels.groupBy("concept_id").agg(F.collect_set("label").alias("_labels"))
+    names = labels.groupBy("concept_id").agg(F.collect_set("label").alias("_labels"))
 
     def apply(annotations: DataFrame) -> DataFrame:
         if theta >= 1:
             return distinct_annotations(annotations.where("matched_length > 1"), key)
-        joined = annotations.join(index.hint(labels), "concept_id", "left")
+        joined = annotations.join(hint(names), "concept_id", "left")
         if theta >= 0:
             near = F.array_contains("_labels", F.col("matched_text"))
         else:
@@ -85,3 +85,8 @@ def levenshtein_filter(index: Index, theta: float = 0.85, key: str = "doc_id") -
         return distinct_annotations(kept.select(*annotations.columns), key)
 
     return apply
+
+
+def levenshtein_filter(index: Index, theta: float = 0.85, key: str = "doc_id") -> AnnotationFilter:
+    """``label_filter`` with an index's labels, broadcast if they are small."""
+    return label_filter(index.labels, theta, key, index.hint_labels)

@@ -3,24 +3,31 @@
 Two strings within k edits share one of k + 1 segments of either, at a place
 shifted by at most k. So labels are cut in k + 1 segments, and windows look their
 substrings up by (label length, segment, substring): an equi-join. Candidates
-are then verified. Labels shorter than k + 1 characters have no such segments
-and are compared with all windows of up to 2 k + 1 characters.
+are then verified. Labels shorter than k + 1 characters have no such segments;
+they meet windows of up to 2 k characters where deleting at most k characters
+from either gives the same string, which is an equi-join too.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import explode_tokens, normalize_fuzzy
+from ..functions.text import normalize_fuzzy
+from ..functions.tokenizers import PATTERN, Tokenizer
+from ..sources.dictionary import rank
 
 DISTANCE = 2
 
 
 def fuzzy_labels(labels: DataFrame) -> DataFrame:
-    """(normalized, concept_id, label_index, n_tokens, n_chars): the last of equal ones."""
-    named = labels.select("concept_id", "label_index", F.trim(normalize_fuzzy(F.col("label"))).alias("normalized")).where("normalized <> ''")
-    last = named.groupBy("normalized").agg(F.max(F.struct("concept_id", "label_index")).alias("_k"))
+    """(normalized, concept_id, label_index, n_tokens, n_chars): the last of equal ones.
+
+    Last by the dictionary's order, where the labels carry one (``ord``); else by
+    id and label number.
+    """
+    named = labels.select("concept_id", "label_index", rank(labels).alias("_rank"), F.trim(normalize_fuzzy(F.col("label"))).alias("normalized")).where("normalized <> ''")
+    last = named.groupBy("normalized").agg(F.max_by(F.struct("concept_id", "label_index"), "_rank").alias("_k"))
     return last.select("normalized", "_k.concept_id", "_k.label_index", F.size(F.split("normalized", " +")).alias("n_tokens"), F.length("normalized").alias("n_chars"))
 
 
@@ -31,13 +38,28 @@ def _cut(k: int) -> Column:
     return F.transform(number, lambda i: F.struct(i.alias("seg"), place(i).alias("at"), F.substring(F.col("normalized"), place(i) + 1, place(i + 1) - place(i)).alias("part")))
 
 
-def windows(docs: DataFrame, longest: int, key: str = "doc_id") -> DataFrame:
-    """(key, start, end, window): 1 to ``longest`` neighbouring words, normalised."""
-    words = explode_tokens(docs.select(key, "text").repartition(key), [key]).select(key, "pos", "start", "end", F.trim(normalize_fuzzy(F.col("token"))).alias("w")).where("w <> ''")
-    order = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.currentRow, max(0, longest - 1))
-    ahead = words.withColumn("_ws", F.collect_list(F.struct("w", "end")).over(order))
-    sized = ahead.select(key, "start", "_ws", F.explode(F.sequence(F.lit(1), F.size("_ws"))).alias("n"))
-    return sized.select(key, "start", F.element_at("_ws", F.col("n"))["end"].alias("end"), F.array_join(F.transform(F.slice("_ws", F.lit(1), F.col("n")), lambda x: x["w"]), " ").alias("window"), "n")
+def windows(docs: DataFrame, longest: int, key: str = "doc_id", tokenizer: Tokenizer = PATTERN) -> DataFrame:
+    """(key, start, end, surface, window, n): 1 to ``longest`` neighbouring words, normalised.
+
+    Made within each row, so no text is shuffled.
+    """
+    cut = docs.select(key, F.col("text").alias("_text"), tokenizer.column(docs.sparkSession, F.col("text")).alias("_t"))
+    named = F.transform("_t", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.trim(normalize_fuzzy(t["token"])).alias("w")))
+    words = cut.select(key, "_text", F.filter(named, lambda t: t["w"] != "").alias("_ws"))
+    each = words.select(key, "_text", F.posexplode(F.transform("_ws", lambda t, i: F.slice("_ws", i + 1, F.lit(max(1, longest))))).alias("_i", "_run"))
+    sized = each.select(key, "_text", "_run", F.explode(F.sequence(F.lit(1), F.size("_run"))).alias("n"))
+    start, end = F.element_at("_run", 1)["start"], F.element_at("_run", F.col("n"))["end"]
+    window = F.array_join(F.transform(F.slice("_run", F.lit(1), F.col("n")), lambda x: x["w"]), " ")
+    return sized.select(key, start.alias("start"), end.alias("end"), F.substring("_text", start + 1, end - start).alias("surface"), window.alias("window"), "n")
+
+
+def _deletions(text: Column, k: int) -> Column:
+    """What is left of ``text`` after deleting at most ``k`` characters."""
+    found = F.array(text)
+    for _ in range(k):
+        less = F.flatten(F.transform(found, lambda s: F.transform(F.filter(F.sequence(F.lit(0), F.length(s)), lambda i: i > 0), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))))
+        found = F.array_distinct(F.concat(found, less))
+    return found
 
 
 def similar(strings: DataFrame, labels: DataFrame, k: int = DISTANCE) -> DataFrame:
@@ -48,31 +70,44 @@ def similar(strings: DataFrame, labels: DataFrame, k: int = DISTANCE) -> DataFra
     n = F.length("window")
     long = labels.where(F.col("n_chars") > k)
     blocks = long.select("*", F.explode(_cut(k)).alias("s")).select("normalized", "concept_id", "label_index", "n_chars", "s.seg", F.col("s.at").alias("at"), "s.part")
-    # a window asks for each label length in reach, segment and shift in reach
-    asked = strings.withColumn("n_chars", F.explode(F.sequence(F.greatest(n - k, F.lit(k + 1)), F.greatest(n + k, F.lit(k + 1)))))
-    asked = asked.where(F.abs(F.col("n_chars") - n) <= k)
-    asked = asked.withColumn("seg", F.explode(F.sequence(F.lit(0), F.lit(k)))).withColumn("shift", F.explode(F.sequence(F.lit(-k), F.lit(k))))
+    # a window asks for each label length in reach that there is, and each segment
+    sizes = sorted(r["n_chars"] for r in long.select("n_chars").distinct().toLocalIterator())
+    asked = strings.withColumn("n_chars", F.explode(F.filter(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda m: F.abs(m - n) <= k))).withColumn("seg", F.explode(F.sequence(F.lit(0), F.lit(k))))
+    # one segment stays whole with at most as many edits before it as its number, and
+    # the rest of the k behind it: that bounds the shift from both sides
+    gap = n - F.col("n_chars")
+    lowest, highest = F.greatest(-F.col("seg"), gap - (F.lit(k) - F.col("seg"))), F.least(F.col("seg"), gap + (F.lit(k) - F.col("seg")))
+    asked = asked.where(lowest <= highest).withColumn("shift", F.explode(F.sequence(lowest, highest)))
     first = (F.col("seg") * F.col("n_chars") / F.lit(k + 1)).cast("int")
     after = ((F.col("seg") + 1) * F.col("n_chars") / F.lit(k + 1)).cast("int")
     at = first + F.col("shift")
     asked = asked.where((at >= 0) & (at + after - first <= n)).select("window", "n_chars", "seg", F.substring("window", at + 1, after - first).alias("part"))
-    met = asked.distinct().join(blocks.drop("at"), ["n_chars", "seg", "part"]).select("window", "normalized", "concept_id", "label_index").distinct()
-    few = labels.where(F.col("n_chars") <= k).select("normalized", "concept_id", "label_index")
-    # the strings of up to k characters are few whatever the dictionary holds
-    near = strings.where(n <= 2 * k).join(few, F.abs(F.length("window") - F.length("normalized")) <= k)
-    both = met.unionByName(near.select("window", "normalized", "concept_id", "label_index"))
+    met = asked.join(blocks.drop("at"), ["n_chars", "seg", "part"]).select("window", "normalized", "concept_id", "label_index").distinct()
+    few = labels.where(F.col("n_chars") <= k).select("normalized", "concept_id", "label_index", F.explode(_deletions(F.col("normalized"), k)).alias("part"))
+    short = strings.where(n <= 2 * k).select("window", F.explode(_deletions(F.col("window"), k)).alias("part"))
+    near = short.join(few, "part").select("window", "normalized", "concept_id", "label_index").distinct()
+    both = met.unionByName(near)
     return both.withColumn("distance", F.levenshtein("window", "normalized", k)).where("distance >= 0")
 
 
-def fuzzy_match(docs: DataFrame, labels: DataFrame, k: int = DISTANCE, key: str = "doc_id") -> DataFrame:
+def _met(docs: DataFrame, known: DataFrame, k: int, key: str, tokenizer: Tokenizer) -> DataFrame:
+    longest = known.agg(F.max("n_tokens").alias("longest")).first()["longest"]
+    places = windows(docs, int(longest or 1), key, tokenizer)
+    # a common word is looked up once
+    return places.join(similar(places.select("window").distinct(), known, k), "window")
+
+
+def fuzzy_match(docs: DataFrame, labels: DataFrame, k: int = DISTANCE, key: str = "doc_id", tokenizer: Tokenizer = PATTERN) -> DataFrame:
     """(key, start, end, window, concept_id, label_index, normalized, distance).
 
     Every window of up to as many words as the longest label has is compared.
     Windows are made distinct before the join, so a common word is looked up once.
     """
-    known = fuzzy_labels(labels)
-    facts = known.agg(F.max("n_tokens").alias("longest"), F.count("*").alias("n")).first()
-    places = windows(docs, int(facts["longest"] or 1), key)
-    pairs = similar(places.select("window").distinct(), known, k)
-    return places.drop("n").join(pairs, "window").select(key, "start", "end", "window", "concept_id", "label_index", "normalized", "distance")
+    found = _met(docs, fuzzy_labels(labels), k, key, tokenizer)
+    return found.select(key, "start", "end", "window", "concept_id", "label_index", "normalized", "distance")
+
 
+def mentions(docs: DataFrame, known: DataFrame, k: int = DISTANCE, key: str = "doc_id", tokenizer: Tokenizer = PATTERN) -> DataFrame:
+    """(key, concept_id, label_index, start, end, matched_text, matched_length) for ``fuzzy_labels``."""
+    found = _met(docs, known, k, key, tokenizer)
+    return found.select(key, "concept_id", "label_index", "start", "end", F.col("surface").alias("matched_text"), F.col("n").cast("int").alias("matched_length"))

@@ -5,7 +5,9 @@ to the right over content tokens while some label has all roots so far; stop
 words are stepped over, termination terms end it. The labels that lasted longest
 and have just that many tokens are found.
 
-Without loops: hits of one label on consecutive content tokens form islands;
+A dictionary that fits every task is matched in one pass over each text
+(``scan``), without a shuffle. Beyond, ``match_windows`` does it without loops:
+hits of one label on consecutive content tokens form islands;
 ``run`` is what is left of an island at a token. The longest run M1 over labels
 is how far a match gets, unless a token repeats the first root at a step beyond
 the longest run R2 of labels that have the root twice. One hash exchange on the
@@ -20,8 +22,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import roots
-from ..functions.text import explode_tokens, is_stop, is_termination
+from ..functions.text import is_stop, is_termination
+from ..functions.tokenizers import PATTERN, Tokenizer
+from ..schema import SEPARATOR
 from .index import Index
+from .scan import scan
 
 
 def content_tokens(tokens: DataFrame, stop: Sequence[str], terms: Sequence[str], key: str = "doc_id") -> DataFrame:
@@ -48,14 +53,22 @@ def _repeats(hits: DataFrame, index: Index, key: str) -> DataFrame:
     return hits.withColumn("rep", F.transform(F.collect_list("cpos").over(ahead), lambda c: (c - F.col("cpos") + 1).cast("long")))
 
 
-def match(docs: DataFrame, index: Index, stop: Sequence[str], terms: Sequence[str], root: roots.Root, key: str = "doc_id", text: str = "text") -> DataFrame:
+def match(docs: DataFrame, index: Index, stop: Sequence[str], terms: Sequence[str], root: roots.Root, key: str = "doc_id", text: str = "text", tokenizer: Tokenizer = PATTERN) -> DataFrame:
     """(key, concept_id, label_index, start, end, matched_length) of (key, text).
 
     Annotations overlap, as a match starts at every content token. ``key`` must
     be unique. Null and empty texts have none.
     """
+    plain = getattr(root, "plain", None)
+    if index.fits_tasks and plain:
+        return scan(docs, index, stop, terms, plain, key, text, tokenizer)
+    return match_windows(docs, index, stop, terms, root, key, text, tokenizer)
+
+
+def match_windows(docs: DataFrame, index: Index, stop: Sequence[str], terms: Sequence[str], root: roots.Root, key: str = "doc_id", text: str = "text", tokenizer: Tokenizer = PATTERN) -> DataFrame:
+    """``match`` for a dictionary of any size, and root functions without a plain form."""
     spread = docs.select(key, text).repartition(key)
-    hits = root_hits(content_tokens(explode_tokens(spread, [key], text), stop, terms, key), index, root)
+    hits = root_hits(content_tokens(tokenizer.explode(spread, [key], text), stop, terms, key), index, root)
     each = _repeats(hits, index, key).select(key, "seg", "cpos", "start", "end", "rep", F.explode("keys").alias("k"))
     flat = each.select(key, "seg", "cpos", "start", "end", "rep", "k.concept_id", "k.label_index", "k.cnt", "k.n_tokens")
     label = ["concept_id", "label_index"]
@@ -73,32 +86,29 @@ def match(docs: DataFrame, index: Index, stop: Sequence[str], terms: Sequence[st
     return found.select(key, *label, "start", F.element_at("ends", F.col("n_tokens")).alias("end"), F.col("n_tokens").alias("matched_length"))
 
 
-def with_text(annotations: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Annotations with matched_text, label_key and confidence_score.
+def described(annotations: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Annotations with matched_text get label_key and confidence_score."""
+    label_key = F.concat_ws(SEPARATOR, "concept_id", F.col("label_index").cast("string")).alias("label_key")
+    return annotations.select(key, "concept_id", "label_index", label_key, "start", "end", "matched_text", "matched_length", F.lit(1.0).alias("confidence_score"))
+
 
-    The documents are partitioned as for the match, so the exchange is shared.
+def annotations(docs: DataFrame, index: Index, stop: Sequence[str], terms: Sequence[str], root: roots.Root, key: str = "doc_id", text: str = "text", tokenizer: Tokenizer = PATTERN) -> DataFrame:
+    """``match`` with matched_text, label_key and confidence_score.
+
+    The one-pass matcher cuts mentions out as it goes; else the documents are
+    joined, partitioned as for the match, so the exchange is shared.
     """
-    from ..schema import SEPARATOR
+    plain = getattr(root, "plain", None)
+    if index.fits_tasks and plain:
+        return described(scan(docs, index, stop, terms, plain, key, text, tokenizer, surface=True), key)
+    found = match_windows(docs, index, stop, terms, root, key, text, tokenizer)
+    joined = found.join(docs.select(key, F.col(text).alias("_text")).repartition(key), key)
+    return described(joined.withColumn("matched_text", F.substring("_text", F.col("start") + 1, F.col("end") - F.col("start"))), key)
 
-    spread = docs.select(key, text).repartition(key)
-    joined = annotations.join(spread, key)
-    return joined.select(
-        key,
-        "concept_id",
-        "label_index",
-        F.concat_ws(SEPARATOR, "concept_id", F.col("label_index").cast("string")).alias("label_key"),
-        "start",
-        "end",
-        F.substring(text, F.col("start") + 1, F.col("end") - F.col("start")).alias("matched_text"),
-        "matched_length",
-        F.lit(1.0).alias("confidence_score"),
-    )
-
-
-def with_concepts(annotations: DataFrame, concepts: DataFrame, index: Index | None = None) -> DataFrame:
+
+def with_concepts(annotations: DataFrame, concepts: DataFrame) -> DataFrame:
     """Annotations with the columns of their concepts (keyed by ``id``)."""
-    side = index.hint(concepts) if index else concepts
-    return annotations.join(side.withColumnRenamed("id", "concept_id"), "concept_id", "left")
+    return annotations.join(concepts.withColumnRenamed("id", "concept_id"), "concept_id", "left")
 
 
 def by_length(annotations: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -1,7 +1,7 @@
 """All queries over the driver's tables by name, and their DuckDB SQL.
 
-Queries without SQL use stemmers, phonetic keys, other edit distances or streams,
-which SQL lacks; tests compare them with sequential versions.
+Queries without SQL use stemmers and phonetic keys, which SQL lacks; tests
+compare them with sequential versions.
 """
 
 from __future__ import annotations
@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from .. import shared, wordlists
 from ..functions import roots, similarity, text
+from ..functions.tokenizers import PATTERN
 from ..operators import embed, fuzzy, index, match
-from ..operators.recognizer import Recognizer
+from ..operators.filters import levenshtein_filter
+from ..operators.recognizer import EmbeddingRecognizer, Recognizer
 from ..sources import brat, dictionary, enrichment, rdf
 from ..streaming.annotate import annotate_stream, parquet_sink
 from . import dictionaries as made
@@ -56,21 +58,21 @@ _PLACE = ("doc_id", "concept_id", "label_index", "start", "end", "matched_length
 
 @query(f"with {sql.BRANDS} select concept_id, label_index, label from blabels")
 def dict_load_rows(spark, sf_dir):
-    return made.brand_labels(spark, sf_dir)
+    return made.brand_labels(spark, sf_dir).drop("ord")
 
 
 @query(f"with {sql.BRANDS} select concept_id, label_index, label from blabels")
 def dict_load_tsv(spark, sf_dir):
     path = shared.new_path(spark, "tsv")
     made.brand_rows(spark, sf_dir).orderBy("ord").select(F.concat_ws("\t", "concept_id", "label").alias("value")).coalesce(1).write.text(path)
-    return dictionary.read_tsv(spark, path)
+    return dictionary.read_tsv(spark, path).drop("ord")
 
 
 @query(f"with {sql.BRANDS} select concept_id, label_index, label from blabels")
 def dict_roundtrip(spark, sf_dir):
     path = shared.new_path(spark, "roundtrip")
     dictionary.write_tsv(made.brand_labels(spark, sf_dir), path)
-    return dictionary.read_tsv(spark, path)
+    return dictionary.read_tsv(spark, path).drop("ord")
 
 
 @query(f"""with {sql.BRANDS} select concept_id as id, max(label) filter (label_index = 0) as label, (count(*) - 1)::int as n_synonyms
@@ -80,7 +82,7 @@ def dict_lookup(spark, sf_dir):
     return found.select("id", "label", F.size("synonyms").alias("n_synonyms"))
 
 
-@query(f"with {sql.BRANDS} select label, max(concept_id) as concept_id from blabels where label_index = 0 group by label")
+@query(f"with {sql.BRANDS} select label, arg_max(concept_id, ord) as concept_id from blabels where label_index = 0 group by label")
 def dict_reverse_index(spark, sf_dir):
     return dictionary.reverse_index(made.brand_labels(spark, sf_dir))
 
@@ -143,7 +145,7 @@ def skos_xl_labels(spark, sf_dir):
 @query(f"""with {sql.TRIPLES}, both_kinds as (select 0 as kind, * from ({sql.plain('prefLabel', 'en')}) union all select 1, * from ({sql.plain('altLabel', 'en')}))
     select x as concept_id, (row_number() over (partition by x order by kind, lf) - 1)::int as label_index, lf as label from both_kinds""")
 def skos_dictionary(spark, sf_dir):
-    return dictionary.index_labels(rdf.dictionary_rows(made.triples(spark, sf_dir), "en", xl=False))
+    return dictionary.index_labels(rdf.dictionary_rows(made.triples(spark, sf_dir), "en", xl=False)).drop("ord")
 
 
 @query(f"with {sql.TRIPLES} select count(*) as count from (select distinct * from ({sql.plain('prefLabel', 'en')}))")
@@ -186,12 +188,18 @@ def _turn_texts(spark, sf_dir):
     return _turns(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
 
 
-@query(f"with {_TURNS}, {sql.tokens('tok', 'turns')} select * from tok")
+@query(f"with {sql.tokens('tok', 'documents')} select * from tok")
 def token_spans(spark, sf_dir):
+    return PATTERN.explode(_docs(spark, sf_dir), ["doc_id"])
+
+
+@query(f"with {_TURNS}, {sql.tokens('tok', 'turns')} select * from tok")
+def token_spans_windows(spark, sf_dir):
+    """By expressions and windows alone, without a Python worker."""
     return text.explode_tokens(_turn_texts(spark, sf_dir).repartition("doc_id"), ["doc_id"])
 
 
-@query(f"""with {_TURNS}, {sql.tokens('tok', 'turns')} select doc_id, pos, token in ({sql.quoted(EN)}) as is_stop,
+@query(f"""with {sql.tokens('tok', 'documents')} select doc_id, pos, token in ({sql.quoted(EN)}) as is_stop,
     trim(token) in ({sql.quoted(EN_END)}) as ends, token in ({sql.quoted(EN + EN_END)}) as blocks from tok""")
 def token_classes(spark, sf_dir):
     t = F.col("token")
@@ -212,7 +220,7 @@ def _token_roots(spark, sf_dir, root: roots.Root) -> DataFrame:
     return token_spans(spark, sf_dir).select("token").distinct().select("token", root(F.col("token")).alias("root"))
 
 
-_DISTINCT = f"with {_TURNS}, {sql.tokens('tok', 'turns')} select distinct token, "
+_DISTINCT = f"with {sql.tokens('tok', 'documents')} select distinct token, "
 
 
 @query(_DISTINCT + "token as root from tok")
@@ -245,7 +253,7 @@ def root_phonetic(spark, sf_dir):
     return _token_roots(spark, sf_dir, roots.metaphone())
 
 
-@query()
+@query(_DISTINCT + sql.soundex("token") + " as root from tok")
 def root_soundex(spark, sf_dir):
     return _token_roots(spark, sf_dir, roots.soundex)
 
@@ -287,7 +295,7 @@ def label_lengths(spark, sf_dir):
     where token not in ({sql.quoted(EN)}) and trim(token) not in ({sql.quoted(EN_END)}) group by all""")
 def root_hits(spark, sf_dir):
     found = index.build(made.corpus_terms(spark, sf_dir), EN, roots.lower)
-    spread = text.explode_tokens(_docs(spark, sf_dir).repartition("doc_id"), ["doc_id"])
+    spread = PATTERN.explode(_docs(spark, sf_dir), ["doc_id"])
     t = F.col("token")
     content = spread.where(~text.is_stop(t, EN) & ~text.is_termination(t, EN_END)).select("doc_id", "pos", F.lower(t).alias("root"))
     return content.join(found.hint(found.by_root), "root").select("doc_id", "pos", F.size("keys").cast("long").alias("n_keys"))
@@ -360,10 +368,8 @@ def filter_levenshtein(spark, sf_dir):
     return _recognizer(spark, sf_dir).annotate(_docs(spark, sf_dir)).select(*_PLACE)
 
 
-@query()
+@query(f"""{_FILTERED.replace("p.label = w.matched_text", "1 - damerau_levenshtein(w.matched_text, p.label) > -1.5")} select doc_id, concept_id, label_index, start, "end", matched_length from sole""")
 def filter_levenshtein_loose(spark, sf_dir):
-    from ..operators.filters import levenshtein_filter
-
     own = _recognizer(spark, sf_dir, filters=[])
     return levenshtein_filter(own.index, theta=-1.5)(own.annotate(_docs(spark, sf_dir))).select(*_PLACE)
 
@@ -420,15 +426,44 @@ def annotate_stream_parts(spark, sf_dir):
     return spark.read.parquet(sink).select(*_PLACE)
 
 
-@query(r"""with names as (select max('p' || k) as concept_id, label from (select min(p_partkey) as k, p_name as label from part group by p_name) group by label),
+@query(f"with recursive {sql.TERMS}, rep as (select * from terms where {_repeating('label')}), {sql.matches('documents', 'rep')} {_ANN}")
+def match_windows(spark, sf_dir):
+    """The plan for dictionaries that don't fit every task."""
+    words = F.split("label", " ")
+    labels = made.corpus_terms(spark, sf_dir).where(F.size(F.array_distinct(words)) < F.size(words))
+    return match.match_windows(_docs(spark, sf_dir), index.build(labels, EN, roots.lower), EN, EN_END, roots.lower).select(*_PLACE)
+
+
+@query(r"""with names as (select arg_max('p' || k, 'p' || k) as concept_id, label from (select min(p_partkey) as k, p_name as label from part group by p_name) group by label),
     ws as (select p_partkey as doc_id, unnest(p) as w, generate_subscripts(p, 1) as i from (select p_partkey, string_split(p_name, ' ') as p from part)),
     placed as (select doc_id, w, i, lead(w) over (partition by doc_id order by i) as w2, coalesce(sum(length(w) + 1) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0)::int as start from ws),
     wins as (select doc_id, start, (start + length(w))::int as e, w as "window" from placed union all select doc_id, start, (start + length(w) + 1 + length(w2))::int, w || ' ' || w2 from placed where w2 is not null)
     select doc_id, start, e as "end", "window", concept_id, label as normalized, levenshtein("window", label)::int as distance from wins join names on levenshtein("window", label) <= 2""")
-def fuzzy_match(spark, sf_dir):
+def fuzzy_match_parts(spark, sf_dir):
     return fuzzy.fuzzy_match(_parts(spark, sf_dir), made.part_names(spark, sf_dir)).drop("label_index")
 
 
+_LEAD_ENDS = ", ".join(f'lead(w, {k}) over o as w{k}, lead("end", {k}) over o as e{k}' for k in range(1, made.LONGEST))
+_FUZZY_WINDOWS = " union all ".join(
+    f"""select doc_id, start, {'"end"' if n == 1 else f"e{n - 1}"} as e, {" || ' ' || ".join(["w", *[f"w{k}" for k in range(1, n)]])} as "window" from near_words where {"true" if n == 1 else f"w{n - 1} is not null"}"""
+    for n in range(1, made.LONGEST + 1)
+)
+
+
+@query(rf"""with {sql.TERMS}, {sql.tokens('tok', 'documents')},
+    names as (select label as normalized, max(concept_id) as concept_id from terms where length(label) >= {made.LONG} and regexp_full_match(label, '[ -~]+') group by label),
+    nw as (select doc_id, pos, start, "end", trim(lower(regexp_replace(token, '[\p{{C}}\p{{M}}\p{{P}}\p{{S}}\p{{Z}}]+', ' ', 'g'))) as w from tok),
+    near_words as (select *, {_LEAD_ENDS} from nw where w <> '' window o as (partition by doc_id order by pos)),
+    wins as ({_FUZZY_WINDOWS}),
+    plain as (select distinct "window", regexp_replace("window", '[^ -~]', chr(1), 'g') as w from wins),
+    pairs as (select "window", normalized, concept_id, levenshtein(w, normalized)::int as distance from plain join names
+        on length(w) between length(normalized) - 2 and length(normalized) + 2 where levenshtein(w, normalized) <= 2)
+    select doc_id, start, e as "end", "window", concept_id, normalized, distance from wins join pairs using ("window")""")
+def fuzzy_match(spark, sf_dir):
+    """The SQL's distance counts bytes, so the labels are ASCII and other characters count as one byte that no label has."""
+    return fuzzy.fuzzy_match(_docs(spark, sf_dir), made.long_terms(spark, sf_dir)).drop("label_index")
+
+
 # ------------------------------------------------------------------ similarity
 
 _PAIRS = f"""{_TURNS}, {sql.tokens('tok', 'turns')}, cnt as (select doc_id, lower(token) as w, count(*) as n from tok group by all),
@@ -441,7 +476,7 @@ _PAIRS = f"""{_TURNS}, {sql.tokens('tok', 'turns')}, cnt as (select doc_id, lowe
 def _turn_pairs(spark, sf_dir) -> DataFrame:
     """(a, b, overlap, na, nb) of each turn and the next."""
     turns = _turn_texts(spark, sf_dir)
-    words = text.explode_tokens(turns.repartition("doc_id"), ["doc_id"]).select("doc_id", F.lower("token").alias("w"))
+    words = PATTERN.explode(turns, ["doc_id"]).select("doc_id", F.lower("token").alias("w"))
     pairs = turns.select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b")).join(turns.select(F.col("doc_id").alias("b")), "b", "left_semi")
     named = lambda k: words.withColumnRenamed("doc_id", k)
     met = similarity.overlap_by_key(named("a"), named("b"), "a", "b", pairs, "w")
@@ -457,8 +492,8 @@ def sim_hard_overlap(spark, sf_dir):
 @query(f"with {_PAIRS} select a, b, round(overlap / (na + nb), 6) as jaccard from sized")
 def sim_jaccard(spark, sf_dir):
     """With the array functions: texts of turns are short."""
-    turns = _turn_texts(spark, sf_dir).repartition("doc_id")
-    arrays = text.explode_tokens(turns, ["doc_id"]).groupBy("doc_id").agg(F.collect_list(F.lower("token")).alias("ws"))
+    turns = _turn_texts(spark, sf_dir)
+    arrays = turns.select("doc_id", F.transform(PATTERN.column(spark, F.col("text")), lambda t: F.lower(t["token"])).alias("ws"))
     pairs = arrays.select(F.col("doc_id").alias("a"), "ws", (F.col("doc_id") + 1).alias("b")).join(arrays.select(F.col("doc_id").alias("b"), F.col("ws").alias("ws2")), "b")
     return pairs.select("a", "b", F.round(similarity.jaccard(F.col("ws"), F.col("ws2")), 6).alias("jaccard"))
 
@@ -501,9 +536,38 @@ def sim_arithmetic_mean(spark, sf_dir):
 
 # ------------------------------------------------------------------ embeddings
 
+_PIECE_LISTS = {name: {"en": text.last_words(made.word_pieces, lists["en"])} for name, lists in (("stop", wordlists.STOP), ("end", wordlists.TERMINATION))}
+
+
+def _embedding(spark, sf_dir, **options) -> EmbeddingRecognizer:
+    return EmbeddingRecognizer(made.part_names(spark, sf_dir), made.make_word_pieces, made.make_letter_embedder, **options)
+
+
+@query(f"""with {sql.PART_NAMES}, keyed as (select concept_id as doc_id, label as text from names), {sql.pieces('tok', 'keyed')},
+    first as (select token, doc_id as concept_id from tok group by all)
+    select token, concept_id, dim, (case dim when 0 then length(token) when 1 then unicode(token) else unicode(right(token, 1)) end)::double as value from first, (select unnest([0, 1, 2])::int as dim)""")
+def embedding_index(spark, sf_dir):
+    """Labels through tokenizer and embedder into vectors per piece and concept."""
+    vectors = _embedding(spark, sf_dir).concept_vectors()
+    each = vectors.select("token", F.explode("vectors").alias("concept_id", "vector"))
+    return each.select("token", "concept_id", F.posexplode("vector").alias("dim", "value")).withColumn("value", F.col("value").cast("double"))
+
+
+@query(f"""with {sql.PART_NAMES}, keyed as (select concept_id as doc_id, label as text from names), {sql.pieces('tok', 'keyed')}
+    select doc_id as concept_id, round(avg(length(token)), 4) as mean_length from tok group by doc_id""")
+def embedding_labels(spark, sf_dir):
+    """The pooled vector of each label: its first dimension."""
+    return _embedding(spark, sf_dir).label_vectors().select("concept_id", F.round(F.element_at("pooled", 1).cast("double"), 4).alias("mean_length"))
+
+
+@query(f"""with recursive {sql.PART_NAMES}, {sql.PART_TEXTS},
+    {sql.matches('parts', 'names', lambda t: t, cut=sql.pieces, stops=_PIECE_LISTS['stop'], ends=_PIECE_LISTS['end'])} {_ANN}""")
+def embedding_match(spark, sf_dir):
+    return _embedding(spark, sf_dir, filters=[]).annotate(_parts(spark, sf_dir)).select(*_PLACE)
+
 
 @query("""with flat as (select label, unnest(embedding) as v, generate_subscripts(embedding, 1) - 1 as dim from embeddings)
     select label, dim::int as dim, round(avg(v::double), 6) as value from flat group by all""")
-def embedding_index(spark, sf_dir):
+def embedding_means(spark, sf_dir):
     found = embed.pooled(made.table(spark, sf_dir, "embeddings"), "label", "embedding")
     return found.select("label", "dim", F.round("value", 6).alias("value"))

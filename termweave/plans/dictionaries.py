@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import WORD
-from ..shared import spread
+from ..shared import materialise, spread
 from ..sources import rdf
 from ..sources.dictionary import index_labels
 
 TOP = 100
 LONGEST = 4
+LONG = 6
+#: Hashes of n-grams up to which they are sent to the tasks that look for their strings.
+CANDIDATES = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,25 +39,66 @@ def part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.select(F.concat(F.lit("p"), F.col("k").cast("string")).alias("concept_id"), F.lit(0).alias("label_index"), F.col("p_name").alias("label"))
 
 
+def _gram_hashes(words: pa.ListArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(n, places, hashes) of the n-grams in a batch's word lists."""
+    flat = words.flatten().dictionary_encode()
+    known = np.fromiter((xxhash.xxh64_intdigest(w) for w in flat.dictionary.to_pylist()), np.uint64, len(flat.dictionary))
+    one = known[flat.indices.to_numpy()]
+    doc = np.repeat(np.arange(len(words)), words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    total = np.zeros(len(one), np.uint64)
+    for n in range(1, LONGEST + 1):
+        last = n - 1
+        total = total[: len(one) - last] * np.uint64(0x9E3779B97F4A7C15) + one[last:]
+        inside = np.flatnonzero(doc[: len(doc) - last] == doc[last:])
+        yield n, inside, total[inside] ^ np.uint64(n)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for n, _, hashes in _gram_hashes(batch.column(0)):
+            h, c = np.unique(hashes, return_counts=True)
+            yield pa.record_batch({"n": pa.array(np.full(len(h), n, np.int32)), "h": pa.array(h.view(np.int64)), "c": pa.array(c)})
+
+
 def corpus_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``TOP`` most frequent n-grams of the documents for n up to ``LONGEST``.
 
-    Counts cover all documents. Equal counts rank by the n-gram.
+    Counts cover all documents. Equal counts rank by the n-gram. Hashes are
+    counted first; strings only of n-grams that may be among the first.
     """
     words = F.regexp_extract_all(F.lower("text"), F.lit(f"[{WORD}]+"), F.lit(0))
-    docs = spread(table(spark, sf_dir, "documents").select("text")).select(words.alias("ws"))
-    # each word beside those after it: shifted arrays, so nothing is copied per position
-    shifted = [F.slice("ws", F.lit(k + 1), F.size("ws")).alias(f"w{k}") for k in range(LONGEST)]
-    row = docs.select(F.explode(F.arrays_zip(*shifted)).alias("z")).select("z.*")
-    ends = [F.col(f"w{n - 1}").isNotNull() for n in range(1, LONGEST + 1)]
-    each = [F.when(end, F.struct(F.lit(n).alias("n"), F.concat_ws(" ", *[f"w{k}" for k in range(n)]).alias("label"))) for n, end in enumerate(ends, 1)]
-    cells = row.select(F.explode(F.array(*each)).alias("g")).where("g is not null")
-    counted = cells.groupBy("g.n", "g.label").agg(F.count("*").alias("c"))
+    docs = spread(table(spark, sf_dir, "documents").select("text")).where("text is not null").select(words.alias("ws"))
+    counts = materialise(docs.mapInArrow(_counted, "n int, h long, c long").groupBy("n", "h").agg(F.sum("c").alias("c")), "grams")
+    best = counts.withColumn("r", F.row_number().over(Window.partitionBy("n").orderBy(F.desc("c")))).where(F.col("r") <= TOP)
+    least = best.groupBy("n").agg(F.min("c").alias("least"))
+    near = materialise(counts.join(F.broadcast(least), "n").where("c >= least").select("n", "h"), "near")
+    wanted = None
+    if near.count() <= CANDIDATES:
+        wanted = spark.sparkContext.broadcast(np.sort(near.select("h").toPandas()["h"].to_numpy().astype(np.int64).view(np.uint64)))
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = batch.column(0).flatten()
+            for n, places, hashes in _gram_hashes(batch.column(0)):
+                if wanted is not None:
+                    hit = np.isin(hashes, wanted.value)
+                    places, hashes = places[hit], hashes[hit]
+                parts = [flat.take(pa.array(places + k)) for k in range(n)]
+                labels = parts[0] if n == 1 else pc.binary_join_element_wise(*parts, " ")
+                yield pa.record_batch({"n": pa.array(np.full(len(places), n, np.int32)), "h": pa.array(hashes.view(np.int64)), "label": labels.cast(pa.string())})
+
+    strings = docs.mapInArrow(named, "n int, h long, label string").join(near, ["n", "h"], "left_semi")
+    counted = strings.groupBy("n", "label").agg(F.count("*").alias("c"))
     order = Window.partitionBy("n").orderBy(F.desc("c"), "label")
     ranked = counted.withColumn("r", F.row_number().over(order)).where(F.col("r") <= TOP)
     terms = ranked.select(F.concat_ws("_", F.lit("g"), F.col("n").cast("string"), F.col("r").cast("string")).alias("concept_id"), F.lit(0).alias("label_index"), "label")
     # a few hundred rows that index and filters read several times
-    return terms.persist()
+    return materialise(terms, "terms")
+
+
+def long_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus terms of ``LONG`` ASCII characters or more: near ones of shorter words are mostly others."""
+    return corpus_terms(spark, sf_dir).where((F.length("label") >= LONG) & F.col("label").rlike("^[ -~]+$"))
 
 
 def plural_terms(labels: DataFrame) -> DataFrame:
@@ -96,3 +146,22 @@ def search_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def brand_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index_labels(brand_rows(spark, sf_dir))
+
+
+def word_pieces(text: str) -> list[str]:
+    """A stand-in for an embedding model's tokenizer: three letters, then the rest."""
+    return [piece for word in text.split(" ") if word for piece in (word[:3], *(["##" + word[3:]] if len(word) > 3 else []))]
+
+
+def make_word_pieces() -> Callable[[str], list[str]]:
+    return word_pieces
+
+
+def make_letter_embedder() -> Callable[[list[str]], list[tuple[list[str], np.ndarray]]]:
+    """A stand-in for an embedding model: a piece's length, first and last character."""
+
+    def embed(labels: list[str]) -> list[tuple[list[str], np.ndarray]]:
+        cut = [word_pieces(label) for label in labels]
+        return [(tokens, np.array([[len(t), ord(t[0]), ord(t[-1])] for t in tokens], np.float32).reshape(len(tokens), 3)) for tokens in cut]
+
+    return embed

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from .. import wordlists
 from ..functions.text import PIECE, WORD
 from ..sources import rdf
@@ -37,27 +39,48 @@ def s_root(token: str) -> str:
 NORMAL = r"lower(regexp_replace(label, '[\p{C}\p{M}\p{P}\p{S}]+', ' ', 'g'))"
 
 
-def label_index(labels: str, root=lower_root, language: str = "en") -> str:
+def soundex(token: str) -> str:
+    """Letters to codes, other characters to 0, h and w left out; runs of a code are one."""
+    upper = f"translate({token}, '{string.ascii_lowercase}', '{string.ascii_uppercase}')"
+    coded = f"translate(regexp_replace(substr({upper}, 2), '[^A-Z]', '0', 'g'), '{string.ascii_uppercase}', '01230127022455012623017202')"
+    first = f"replace(translate(substr({upper}, 1, 1), '{string.ascii_uppercase}', '01230127022455012623017202'), '7', '0')"
+    runs = f"{first} || replace({coded}, '7', '')"
+    for digit in "123456":
+        runs = f"regexp_replace({runs}, '{digit}+', '{digit}', 'g')"
+    return f"case when regexp_matches({token}, '^[A-Za-z]') then substr({upper}, 1, 1) || substr(replace(substr({runs}, 2), '0', '') || '000', 1, 3) else {token} end"
+
+
+def pieces(name: str, source: str, key: str = "doc_id", text: str = "text") -> str:
+    """As ``tokens``, for the word pieces of ``dictionaries.word_pieces``."""
+    return f"""
+    {name}_word as (select {key}, unnest(p) as w, generate_subscripts(p, 1) as i from (select {key}, string_split({text}, ' ') as p from {source})),
+    {name}_at as (select *, (coalesce(sum(length(w) + 1) over (partition by {key} order by i rows between unbounded preceding and 1 preceding), 0))::int as beg from {name}_word),
+    {name}_both as (select {key}, i, 0 as part, beg as start, beg + least(length(w), 3) as e, substr(w, 1, 3) as token from {name}_at where w <> ''
+        union all select {key}, i, 1, beg + 3, beg + length(w), '##' || substr(w, 4) from {name}_at where length(w) > 3),
+    {name} as (select {key}, (row_number() over (partition by {key} order by i, part) - 1)::int as pos, start::int as start, e::int as "end", token from {name}_both)"""
+
+
+def label_index(labels: str, root=lower_root, language: str = "en", cut=tokens, lists=wordlists.STOP) -> str:
     """CTEs post (root, key, cnt), lens (key, n_tokens) of ``labels``."""
-    stop = quoted(wordlists.STOP[language])
+    stop = quoted(lists[language])
     return f"""
     normal as (select concept_id || ':::' || label_index as key, {NORMAL} as text from {labels}),
-    {tokens("ltok", "normal", "key")},
+    {cut("ltok", "normal", "key")},
     lcontent as (select key, {root("token")} as root from ltok where token not in ({stop})),
     post as (select root, key, count(*)::int as cnt from lcontent group by all),
     lens as (select key, sum(cnt)::int as n_tokens from post group by key)"""
 
 
-def matches(source: str, labels: str, root=lower_root, language: str = "en", key: str = "doc_id") -> str:
+def matches(source: str, labels: str, root=lower_root, language: str = "en", key: str = "doc_id", cut=tokens, stops=wordlists.STOP, ends=wordlists.TERMINATION) -> str:
     """CTEs that end in ``ann``: (key, concept_id, label_index, start, end, matched_length).
 
     Walks token by token from every start, as the definition does. ``labels``
     names a CTE or table.
     """
-    stop, terms = quoted(wordlists.STOP[language]), quoted(wordlists.TERMINATION[language])
+    stop, terms = quoted(stops[language]), quoted(ends[language])
     return f"""
-    {label_index(labels, root, language)},
-    {tokens("tok", source, key)},
+    {label_index(labels, root, language, cut, stops)},
+    {cut("tok", source, key)},
     cls as (select *, token in ({stop}) as is_stop, trim(token) in ({terms}) as is_term from tok),
     numbered as (select *, sum(is_term::int) over (partition by {key} order by pos) as seg from cls),
     content as (select {key} as k, seg, row_number() over (partition by {key} order by pos) as cpos, start, "end" as e, {root("token")} as root from numbered where not is_stop and not is_term),
@@ -97,7 +120,7 @@ PLURALS = "plurals as (select * from terms union all select concept_id, 1, label
 PART_NAMES = "names as (select 'p' || min(p_partkey) as concept_id, 0 as label_index, p_name as label from part group by p_name)"
 PART_TEXTS = "parts as (select p_partkey as doc_id, p_name as text from part)"
 BRANDS = """brand as (select p_partkey as ord, 'http://example.org/brand_' || p_brand as concept_id, p_name as label from part),
-    blabels as (select concept_id, (row_number() over (partition by concept_id order by ord) - 1)::int as label_index, label from brand)"""
+    blabels as (select concept_id, (row_number() over (partition by concept_id order by ord) - 1)::int as label_index, label, ord from brand)"""
 
 _S = "'http://example.org/part_' || p_partkey"
 _TYPE, _SKOS, _XL = f"'{rdf.TYPE}'", rdf.SKOS, rdf.SKOS_XL

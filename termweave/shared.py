@@ -16,13 +16,23 @@ def folder(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="termweave-")
+    known = getattr(context, "_termweave_plans", None)
+    if known is None:
+        known = context._termweave_plans = tempfile.mkdtemp(prefix="termweave-")
+    return known
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/termweave-plans/{name}-{uuid.uuid4().hex}"
 
 
+def materialise(table: DataFrame, name: str) -> DataFrame:
+    """Write ``table`` to the shared folder and read it back: lineage ends there."""
+    path = new_path(table.sparkSession, name)
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
 def spread(table: DataFrame) -> DataFrame:
     """``table`` over all cores where its files have fewer splits than those.
 

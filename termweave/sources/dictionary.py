@@ -1,6 +1,8 @@
-"""Dictionaries: (concept_id, label_index, label) tables from files and rows.
+"""Dictionaries: (concept_id, label_index, label, ord) tables from files and rows.
 
 Label 0 of a concept is its preferred label, the others are synonyms in order.
+``ord`` is the place in the order of loading; operators that need no order take
+labels without it.
 """
 
 from __future__ import annotations
@@ -14,9 +16,19 @@ from ..schema import LABEL_ROWS
 
 
 def index_labels(rows: DataFrame) -> DataFrame:
-    """(concept_id, label_index, label) from (ord, concept_id, label)."""
+    """(concept_id, label_index, label, ord) from (ord, concept_id, label)."""
     order = Window.partitionBy("concept_id").orderBy("ord")
-    return rows.select("concept_id", (F.row_number().over(order) - 1).cast("int").alias("label_index"), "label")
+    return rows.select("concept_id", (F.row_number().over(order) - 1).cast("int").alias("label_index"), "label", "ord")
+
+
+def rank(labels: DataFrame) -> Column:
+    """What orders labels by loading; ids decide where nothing else does."""
+    return F.struct(*[c for c in ("ord", "concept_id", "label_index") if c in labels.columns])
+
+
+def load_order(labels: DataFrame) -> DataFrame:
+    """(concept_id, _first): concepts with the place of their first label."""
+    return labels.groupBy("concept_id").agg(F.min("ord").alias("_first"))
 
 
 def from_rows(spark: SparkSession, rows: Iterable[tuple[str, str]]) -> DataFrame:
@@ -41,10 +53,13 @@ def read_tsv(spark: SparkSession, path: str, header: bool = False) -> DataFrame:
 def write_tsv(labels: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One ID<TAB>LABEL line per label, preferred label first, without header.
 
-    A dictionary is written as one file, in order of id. ``mode='ignore'`` keeps
-    what is there, so a build can be repeated for nothing.
+    A dictionary is written as one file, in order of loading: concepts as their
+    first labels came (by id, if the labels carry no ``ord``), each with all its
+    labels. ``mode='ignore'`` keeps what is there, so a build can be repeated for
+    nothing.
     """
-    lines = labels.orderBy("concept_id", "label_index").select(F.concat_ws("\t", "concept_id", "label").alias("value"))
+    placed = labels.join(load_order(labels), "concept_id").orderBy("_first", "concept_id", "label_index") if "ord" in labels.columns else labels.orderBy("concept_id", "label_index")
+    lines = placed.select(F.concat_ws("\t", "concept_id", "label").alias("value"))
     lines.coalesce(1).write.mode(mode).text(path)
 
 
@@ -67,9 +82,9 @@ def lookup(table: DataFrame, concept_id: str) -> DataFrame:
 
 
 def reverse_index(labels: DataFrame) -> DataFrame:
-    """(label, concept_id) of preferred labels; of equal labels the last id wins."""
+    """(label, concept_id) of preferred labels; of equal labels the concept loaded last wins."""
     preferred = labels.where("label_index = 0")
-    return preferred.groupBy("label").agg(F.max("concept_id").alias("concept_id"))
+    return preferred.groupBy("label").agg(F.max_by("concept_id", rank(labels)).alias("concept_id"))
 
 
 def size(labels: DataFrame) -> DataFrame:
