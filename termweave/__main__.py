@@ -6,7 +6,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from .sources import dictionary, rdf, sparql
+from .sources import brat, dictionary, rdf, sparql
 
 
 def main(args: list[str] | None = None) -> None:
@@ -18,6 +18,7 @@ def main(args: list[str] | None = None) -> None:
     source.add_argument("--ntriples", help="N-Triples file or folder")
     build.add_argument("--from", dest="graph", default="", help="graph to read from")
     build.add_argument("--output", required=True, help="folder to write")
+    build.add_argument("--brat", default="", help="folder for a normalisation database of the same labels")
     build.add_argument("--language", default="fr")
     build.add_argument("--plain", action="store_true", help="plain SKOS labels rather than SKOS-XL")
     build.add_argument("--keep", action="store_true", help="do nothing if the output is there")
@@ -27,7 +28,10 @@ def main(args: list[str] | None = None) -> None:
         rows = sparql.skos_dictionary_rows(spark, own.endpoint, own.language, not own.plain, own.graph)
     else:
         rows = rdf.dictionary_rows(rdf.read_ntriples(spark, own.ntriples), own.language, not own.plain)
-    dictionary.write_tsv(dictionary.index_labels(rows), own.output, "ignore" if own.keep else "overwrite")
+    mode = "ignore" if own.keep else "overwrite"
+    dictionary.write_tsv(dictionary.index_labels(rows), own.output, mode)
+    if own.brat:
+        brat.write(rows, own.brat, mode=mode)
 
 
 if __name__ == "__main__":

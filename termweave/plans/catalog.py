@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import shared, wordlists
+from ..__main__ import main as command_line
 from ..functions import roots, similarity, text
 from ..functions.tokenizers import PATTERN
 from ..operators import embed, fuzzy, index, match
 from ..operators.filters import levenshtein_filter
-from ..operators.recognizer import EmbeddingRecognizer, Recognizer
-from ..sources import brat, dictionary, enrichment, rdf
+from ..operators.recognizer import EmbeddingRecognizer, FuzzyRecognizer, Recognizer, stem_recognizer
+from ..sources import brat, dictionary, enrichment, files, rdf
 from ..streaming.annotate import annotate_stream, parquet_sink
 from . import dictionaries as made
 from . import sql
@@ -92,6 +93,20 @@ def dict_size(spark, sf_dir):
     return dictionary.size(made.brand_labels(spark, sf_dir))
 
 
+@query(f"with {sql.BRANDS} select distinct concept_id as id from blabels")
+def dict_ids(spark, sf_dir):
+    return dictionary.concepts(made.brand_labels(spark, sf_dir)).select("id")
+
+
+@query(f"""with {sql.BRANDS}, more as (select concept_id, label from blabels union select 'http://example.org/brand_' || p_brand, p_type from part)
+    select concept_id, array_to_string(list_sort(list(distinct label)), ', ') as labels from more group by concept_id""")
+def dict_add_labels(spark, sf_dir):
+    part = made.table(spark, sf_dir, "part")
+    more = part.select(F.concat(F.lit("http://example.org/brand_"), "p_brand").alias("concept_id"), F.col("p_type").alias("label"))
+    table = dictionary.add_labels(dictionary.concept_index(made.brand_labels(spark, sf_dir)), more)
+    return table.select("concept_id", F.array_join("labels", ", ").alias("labels"))
+
+
 @query(f"with {sql.BRANDS} select '[' || concept_id || '] ' || label as shown from blabels where label_index = 0")
 def dict_display(spark, sf_dir):
     preferred = made.brand_labels(spark, sf_dir).where("label_index = 0")
@@ -158,27 +173,54 @@ def skos_page(spark, sf_dir):
     return rdf.page(rdf.plain_labels(made.triples(spark, sf_dir), "en", rdf.SKOS + "altLabel"), 30, 90)
 
 
+def _write_ntriples(triples: DataFrame, path: str) -> None:
+    node = lambda c: F.concat(F.lit("<"), c, F.lit(">"))
+    literal = F.concat(F.lit('"'), "o", F.lit('"@'), "o_lang")
+    triples.select(F.concat_ws(" ", node("s"), node("p"), F.when(F.col("o_lang").isNull(), node("o")).otherwise(literal), F.lit(".")).alias("value")).write.text(path)
+
+
 @query(f"with {sql.TRIPLES} select s, p, o, o_lang from triples")
 def ntriples_roundtrip(spark, sf_dir):
     path = shared.new_path(spark, "triples")
-    node = lambda c: F.concat(F.lit("<"), c, F.lit(">"))
-    literal = F.concat(F.lit('"'), "o", F.lit('"@'), "o_lang")
-    rows = made.triples(spark, sf_dir)
-    lines = rows.select(F.concat_ws(" ", node("s"), node("p"), F.when(F.col("o_lang").isNull(), node("o")).otherwise(literal), F.lit(".")).alias("value"))
-    lines.write.text(path)
+    _write_ntriples(made.triples(spark, sf_dir), path)
     return rdf.read_ntriples(spark, path)
 
 
-@query("""with items as (select p_brand, p_partkey, p_size % 2 = 0 as has_cui, p_size % 4 <> 0 as has_type, 'C' || p_size as cui, p_type, p_name from part)
+@query(f"""with {sql.TRIPLES}, both_kinds as (select 0 as kind, * from ({sql.plain('prefLabel', 'en')}) union all select 1, * from ({sql.plain('altLabel', 'en')}))
+    select x as concept_id, (row_number() over (partition by x order by kind, lf) - 1)::int as label_index, lf as label from both_kinds""")
+def command_line_dictionary(spark, sf_dir):
+    """As ``skos_dictionary``, by the command line from an N-Triples file to a TSV."""
+    source, target = shared.new_path(spark, "triples"), shared.new_path(spark, "built")
+    _write_ntriples(made.triples(spark, sf_dir), source)
+    for _ in range(2):
+        command_line(["build-dictionary", "--ntriples", source, "--output", target, "--language", "en", "--plain", "--keep"])
+    return dictionary.read_tsv(spark, target).drop("ord")
+
+
+_REPLIES = """with items as (select p_brand, p_partkey, p_size % 2 = 0 as has_cui, p_size % 4 <> 0 as has_type, 'C' || p_size as cui, p_type, p_name,
+        row_number() over (partition by p_brand order by p_partkey) as place from part)
     select p_brand as concept_id, array_to_string(list('id' || p_partkey order by p_partkey), ',') as mappings,
         array_to_string(list_sort(list(distinct cui) filter (has_cui)), ',') as cuis,
         array_to_string(list_sort(list(distinct p_type) filter (has_cui and has_type)), ',') as tuis,
-        array_to_string(list_sort(list(distinct p_name) filter (has_cui and has_type)), ',') as synonyms from items group by p_brand""")
-def enrich_search_replies(spark, sf_dir):
-    found = enrichment.merged(made.search_replies(spark, sf_dir))
+        array_to_string(list_sort(list(distinct p_name) filter (has_cui and has_type)), ',') as synonyms from items {where} group by p_brand"""
+
+
+def _replies(spark, sf_dir, most: int | None = None) -> DataFrame:
+    found = enrichment.merged(made.search_replies(spark, sf_dir), most)
     return found.select("concept_id", *[F.array_join(c, ",").alias(c) for c in ("mappings", "cuis", "tuis", "synonyms")])
 
 
+@query(_REPLIES.format(where=""))
+def enrich_search_replies(spark, sf_dir):
+    return _replies(spark, sf_dir)
+
+
+@query(_REPLIES.format(where="where place <= 3"))
+def enrich_top_replies(spark, sf_dir):
+    """Of each reply the first three results."""
+    return _replies(spark, sf_dir, 3)
+
+
 # ------------------------------------------------------------ tokens and roots
 
 _TURNS = "turns as (select conv_id * 1000 + turn as doc_id, text from conversations)"
@@ -270,6 +312,31 @@ def piece_spans(spark, sf_dir):
     return spans.select("doc_id", F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.col("i") + 1).alias("piece"), "s.start", "s.end")
 
 
+@query("""select doc_id, i::int as place, case when length(w) > 3 then '##' || substr(w, 4) else w end as piece
+    from (select p_partkey as doc_id, unnest(ws) as w, generate_subscripts(ws, 1) - 1 as i from (select p_partkey, string_split(p_name, ' ') as ws from part))""")
+def last_pieces(spark, sf_dir):
+    """The last word piece of each word: three letters, then the rest."""
+    cut = F.transform(F.split("text", " "), lambda w: F.filter(F.array(F.substring(w, 1, 3), F.when(F.length(w) > 3, F.concat(F.lit("##"), F.substring(w, F.lit(4), F.length(w))))), lambda p: p.isNotNull()))
+    return _parts(spark, sf_dir).select("doc_id", F.posexplode(text.last_piece(cut)).alias("place", "piece"))
+
+
+@query("""select replace(p_brand, '#', '_') as brand, string_agg(p_name, chr(10) order by p_partkey) || chr(10) as text from part group by p_brand""")
+def read_files(spark, sf_dir):
+    """Files of a brand's part names, read whole."""
+    path = shared.new_path(spark, "files")
+    rows = made.table(spark, sf_dir, "part").select(F.translate("p_brand", "#", "_").alias("brand"), "p_partkey", F.col("p_name").alias("value"))
+    rows.repartition("brand").sortWithinPartitions("brand", "p_partkey").select("brand", "value").write.partitionBy("brand").text(path)
+    return files.read_texts(spark, path).select(F.regexp_extract("doc_id", "brand=([^/]+)/", 1).alias("brand"), "text")
+
+
+@query("select p_partkey as doc_id, p_name as text from part")
+def save_once(spark, sf_dir):
+    """The second write finds the table there and changes nothing."""
+    path = shared.new_path(spark, "once")
+    files.save_once(_parts(spark, sf_dir), path)
+    return files.save_once(_parts(spark, sf_dir).limit(0), path)
+
+
 # ----------------------------------------------------------------------- index
 
 
@@ -324,7 +391,15 @@ def match_unfiltered(spark, sf_dir):
 
 @query(f"with recursive {sql.TERMS}, {sql.matches('documents', 'terms', language='fr')} {_ANN}")
 def match_fr(spark, sf_dir):
-    return _matched(spark, sf_dir, _docs(spark, sf_dir), made.corpus_terms(spark, sf_dir), roots.lower, "fr")
+    own = Recognizer(made.corpus_terms(spark, sf_dir), "fr", roots.lower, filters=[])
+    return own.annotate(_docs(spark, sf_dir)).select(*_PLACE)
+
+
+@query(f"with recursive {sql.TERMS}, {sql.matches('documents', 'terms', sql.prefix_root)} {_ANN}")
+def match_custom_stem(spark, sf_dir):
+    """By a stemmer of the caller: the first five letters."""
+    own = stem_recognizer(made.corpus_terms(spark, sf_dir), stemmer=made.first_letters, filters=[])
+    return own.annotate(_docs(spark, sf_dir)).select(*_PLACE)
 
 
 def _repeating(label: str) -> str:
@@ -374,6 +449,14 @@ def filter_levenshtein_loose(spark, sf_dir):
     return levenshtein_filter(own.index, theta=-1.5)(own.annotate(_docs(spark, sf_dir))).select(*_PLACE)
 
 
+@query(f"""{_FILTERED} select doc_id, concept_id, label_index, start, "end", matched_length from sole where "end" - start >= 8""")
+def filter_chain(spark, sf_dir):
+    """The Levenshtein filter, then one of the caller's."""
+    own = _recognizer(spark, sf_dir)
+    own = _recognizer(spark, sf_dir, filters=[*own.filters, lambda found: found.where(F.col("end") - F.col("start") >= 8)])
+    return own.annotate(_docs(spark, sf_dir)).select(*_PLACE)
+
+
 _NAMES = f"with recursive {sql.PART_NAMES}, {sql.PART_TEXTS}, {sql.matches('parts', 'names')}"
 
 
@@ -414,6 +497,15 @@ def index_reload(spark, sf_dir):
     return match.match(_parts(spark, sf_dir), index.load(spark, path), EN, EN_END, roots.lower).select(*_PLACE)
 
 
+@query(f"{_NAMES} {_ANN}")
+def annotate_from_tsv(spark, sf_dir):
+    """An annotator of a dictionary file."""
+    path = shared.new_path(spark, "names")
+    dictionary.write_tsv(made.part_names(spark, sf_dir), path)
+    own = Recognizer.from_tsv(spark, path, root=roots.lower, filters=[]).initialize()
+    return own(_parts(spark, sf_dir)).select(*_PLACE)
+
+
 @query(f"{_NAMES} {_ANN}")
 def annotate_stream_parts(spark, sf_dir):
     """The part table as a stream of its files, annotated batch by batch."""
@@ -434,15 +526,25 @@ def match_windows(spark, sf_dir):
     return match.match_windows(_docs(spark, sf_dir), index.build(labels, EN, roots.lower), EN, EN_END, roots.lower).select(*_PLACE)
 
 
-@query(r"""with names as (select arg_max('p' || k, 'p' || k) as concept_id, label from (select min(p_partkey) as k, p_name as label from part group by p_name) group by label),
+_FUZZY_PARTS = r"""with names as (select arg_max('p' || k, 'p' || k) as concept_id, label from (select min(p_partkey) as k, p_name as label from part group by p_name) group by label),
     ws as (select p_partkey as doc_id, unnest(p) as w, generate_subscripts(p, 1) as i from (select p_partkey, string_split(p_name, ' ') as p from part)),
     placed as (select doc_id, w, i, lead(w) over (partition by doc_id order by i) as w2, coalesce(sum(length(w) + 1) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0)::int as start from ws),
-    wins as (select doc_id, start, (start + length(w))::int as e, w as "window" from placed union all select doc_id, start, (start + length(w) + 1 + length(w2))::int, w || ' ' || w2 from placed where w2 is not null)
-    select doc_id, start, e as "end", "window", concept_id, label as normalized, levenshtein("window", label)::int as distance from wins join names on levenshtein("window", label) <= 2""")
+    wins as (select doc_id, start, (start + length(w))::int as e, w as "window" from placed union all select doc_id, start, (start + length(w) + 1 + length(w2))::int, w || ' ' || w2 from placed where w2 is not null)"""
+
+
+@query(f"""{_FUZZY_PARTS} select doc_id, start, e as "end", "window", concept_id, label as normalized, levenshtein("window", label)::int as distance from wins join names on levenshtein("window", label) <= 2""")
 def fuzzy_match_parts(spark, sf_dir):
     return fuzzy.fuzzy_match(_parts(spark, sf_dir), made.part_names(spark, sf_dir)).drop("label_index")
 
 
+@query(f"""{_FUZZY_PARTS} select doc_id, concept_id, 0 as label_index, start, e as "end", "window" as matched_text, (1 + length("window") - length(replace("window", ' ', '')))::int as matched_length
+    from wins join names on levenshtein("window", label) <= 2""")
+def annotate_fuzzy_parts(spark, sf_dir):
+    """The approximate recogniser."""
+    own = FuzzyRecognizer(made.part_names(spark, sf_dir), filters=[])
+    return own.annotate(_parts(spark, sf_dir)).drop("label_key", "confidence_score")
+
+
 _LEAD_ENDS = ", ".join(f'lead(w, {k}) over o as w{k}, lead("end", {k}) over o as e{k}' for k in range(1, made.LONGEST))
 _FUZZY_WINDOWS = " union all ".join(
     f"""select doc_id, start, {'"end"' if n == 1 else f"e{n - 1}"} as e, {" || ' ' || ".join(["w", *[f"w{k}" for k in range(1, n)]])} as "window" from near_words where {"true" if n == 1 else f"w{n - 1} is not null"}"""

@@ -148,6 +148,11 @@ def brand_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index_labels(brand_rows(spark, sf_dir))
 
 
+def first_letters(token: str) -> str:
+    """A stand-in for a caller's stemmer."""
+    return token[:5]
+
+
 def word_pieces(text: str) -> list[str]:
     """A stand-in for an embedding model's tokenizer: three letters, then the rest."""
     return [piece for word in text.split(" ") if word for piece in (word[:3], *(["##" + word[3:]] if len(word) > 3 else []))]

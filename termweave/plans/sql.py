@@ -36,6 +36,10 @@ def s_root(token: str) -> str:
         when {t} like '%s' and {t} not like '%us' and {t} not like '%ss' then substr({t}, 1, length({t}) - 1) else {t} end"""
 
 
+def prefix_root(token: str) -> str:
+    return f"substr(lower({token}), 1, 5)"
+
+
 NORMAL = r"lower(regexp_replace(label, '[\p{C}\p{M}\p{P}\p{S}]+', ' ', 'g'))"
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import urllib.parse
-import urllib.request
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import SEARCH_REPLY
+from .web import fetch
 
 
 def fetch_replies(concepts: DataFrame, url: str, key: str, most: int = 100, timeout: float = 60) -> DataFrame:
@@ -21,8 +21,7 @@ def fetch_replies(concepts: DataFrame, url: str, key: str, most: int = 100, time
             replies = []
             for label in batch.column(1).to_pylist():
                 query = urllib.parse.urlencode({"q": label or "", "pagesize": most, "apikey": key, "include": "cui,semanticType,synonym"})
-                with urllib.request.urlopen(f"{url.rstrip('/')}/search?{query}", timeout=timeout) as reply:
-                    replies.append(reply.read().decode("utf-8"))
+                replies.append(fetch(f"{url.rstrip('/')}/search?{query}", timeout))
             yield pa.record_batch({"concept_id": batch.column(0), "json": pa.array(replies, pa.string())})
 
     return concepts.select(F.col("id").alias("concept_id"), "label").mapInArrow(run, "concept_id string, json string")

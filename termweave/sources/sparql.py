@@ -9,7 +9,6 @@ Pages are ordered by the selected columns, so they neither overlap nor skip.
 from __future__ import annotations
 
 import json
-import time
 import urllib.parse
 import urllib.request
 from collections.abc import Iterator
@@ -18,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
 
+from .web import fetch
+
 PAGE = 9000
 
 
@@ -31,16 +32,8 @@ def ask(endpoint: str, query: str, timeout: float, tries: int = 3) -> dict:
     """The JSON reply to a query; an empty reply has no bindings."""
     url = endpoint + ("&" if "?" in endpoint else "?") + urllib.parse.urlencode({"query": query, "format": "application/sparql-results+json"})
     request = urllib.request.Request(url, headers={"Accept": "application/sparql-results+json"})
-    for attempt in range(tries):
-        try:
-            with urllib.request.urlopen(request, timeout=timeout or None) as reply:
-                body = reply.read().decode("utf-8")
-            return json.loads(body) if body.strip() else {"results": {"bindings": []}}
-        except OSError:
-            if attempt + 1 == tries:
-                raise
-            time.sleep(2**attempt)
-    raise AssertionError
+    body = fetch(request, timeout, tries)
+    return json.loads(body) if body.strip() else {"results": {"bindings": []}}
 
 
 class SparqlReader(DataSourceReader):

@@ -7,9 +7,11 @@ import pytest
 
 from termweave import wordlists
 from termweave.functions import roots
+from termweave.functions.text import explode_tokens
+from termweave.functions.tokenizers import PATTERN
 from termweave.operators import index, match
 from termweave.operators.filters import damerau_levenshtein, levenshtein_filter
-from termweave.operators.recognizer import Recognizer, lower_recognizer, phonetic_recognizer, stem_recognizer
+from termweave.operators.recognizer import ConceptRecognizer, EmbeddingRecognizer, FuzzyRecognizer, Recognizer, lower_recognizer, phonetic_recognizer, stem_recognizer
 from termweave.sources.dictionary import from_rows
 
 UNIT = [(1, "bright cat"), (2, "Brighton"), (3, "mechanical"), (4, "cet"), (5, "caets"), (6, "cat"), (7, "a")]
@@ -96,7 +98,7 @@ def test_against_the_sequential_model(spark, seed):
     dictionary = from_rows(spark, [(k, " ".join(v)) for k, v in labels.items()])
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     stop, terms = wordlists.STOP["en"], wordlists.TERMINATION["en"]
-    got = match.match(docs, index.build(dictionary, stop, roots.lower), stop, terms, roots.lower).collect()
+    built = index.build(dictionary, stop, roots.lower)
     expected = set()
     for doc, tokens in enumerate(texts):
         starts, at = [], 0
@@ -105,20 +107,92 @@ def test_against_the_sequential_model(spark, seed):
             at += len(t) + 1
         for key, first, last, size in sequential(labels, tokens, stop, terms):
             expected.add((doc, key, starts[first], starts[last] + len(tokens[last]), size))
-    assert {(r.doc_id, r.concept_id, r.start, r.end, r.matched_length) for r in got} == expected
-    assert len(got) == len(expected)
+    for plan in (match.match, match.match_windows):
+        got = plan(docs, built, stop, terms, roots.lower).collect()
+        assert {(r.doc_id, r.concept_id, r.start, r.end, r.matched_length) for r in got} == expected
+        assert len(got) == len(expected)
 
 
-def test_one_exchange_of_the_texts(spark):
+def test_both_tokenizers_agree(spark):
+    values = ["été  noël\t—😀 x", "  a", "éa", " a b ", "", None, "a\x0bb\x1cc\x85d", "½²x_y", "​z é"]
+    rows = spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")
+    table = lambda made: sorted(map(tuple, made.select("doc_id", "pos", "start", "end", "token").collect()))
+    assert table(PATTERN.explode(rows, ["doc_id"])) == table(explode_tokens(rows, ["doc_id"]))
+
+
+def test_fuzzy_recognizer(spark):
+    own = FuzzyRecognizer(from_rows(spark, [(1, "red foxes"), (2, "badger")]), filters=[]).initialize()
+    assert found(spark, own, "The Red, foxs saw a badgers") == [(1, 4, 13, 2), (2, 20, 27, 1)]
+    strict = FuzzyRecognizer(from_rows(spark, [(1, "red foxes"), (2, "badger")]))
+    assert found(spark, strict, "red foxs, badgers, badger") == [(1, 0, 8, 2), (2, 19, 25, 1)]
+
+
+def test_embedding_recognizer(spark):
+    def pieces():
+        return lambda text: [p for w in text.split() for p in ([w[:4], "##" + w[4:]] if len(w) > 4 else [w])]
+
+    def embedder():
+        import numpy as np
+
+        cut = pieces()
+        return lambda labels: [(cut(x), np.array([[len(p), 1.0] for p in cut(x)], np.float32).reshape(-1, 2)) for x in labels]
+
+    own = EmbeddingRecognizer(from_rows(spark, [(1, "redder fox"), (1, "fox"), (2, "of")]), pieces, embedder, filters=[]).initialize()
+    assert found(spark, own, "a fox of redder foxes and redder fox") == [(1, 2, 15, 3), (1, 26, 36, 3), (1, 33, 36, 1)]
+    vectors = {r.token: r.vectors for r in own.concept_vectors().collect()}
+    assert vectors["##er"] == {"1": [4.0, 1.0]} and vectors["fox"] == {"1": [3.0, 1.0]}
+    pooled = {(r.concept_id, r.label_index): list(r.pooled) for r in own.label_vectors().collect()}
+    assert pooled["1", 1] == [3.0, 1.0] and len(pooled) == 3
+
+
+def test_filters_follow_any_recognizer(spark):
+    class Everything(ConceptRecognizer):
+        def initialize(self):
+            return self
+
+        def mentions(self, docs):
+            tokens = self.tokens(docs).selectExpr("doc_id", "'1' as concept_id", "0 as label_index", "start", "end", "token as matched_text", "1 as matched_length")
+            return match.described(tokens)
+
+    own = Everything(from_rows(spark, [(1, "fox")]))
+    assert found(spark, own, "red fox") == [(1, 4, 7, 1)]
+    assert own(spark.createDataFrame([(1, "x")], "doc_id long, text string")).count() == 0
+
+
+def plan_of(rows):
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(1, "red fox")], "doc_id long, text string")
+    own = lower_recognizer(from_rows(spark, [(1, "red fox")]), filters=[])
+    for rows in (own.matches(docs), own.annotate(docs)):
+        assert "Exchange" not in plan_of(rows) and "MapInArrow" in plan_of(rows)
+
+
+def test_one_exchange_of_the_texts_by_windows(spark):
     docs = spark.createDataFrame([(1, "red fox")], "doc_id long, text string")
     own = lower_recognizer(from_rows(spark, [(1, "red fox")]))
-    plan = match.match(docs, own.index, own.stop, own.terms, roots.lower)._jdf.queryExecution().executedPlan().toString()
+    plan = plan_of(match.match_windows(docs, own.index, own.stop, own.terms, roots.lower))
     assert plan.count("Exchange hashpartitioning(doc_id") == 1
     assert "BroadcastHashJoin" in plan
 
 
+def test_a_root_without_a_plain_form(spark):
+    own = Recognizer(from_rows(spark, [("1", "Robert")]), root=roots.soundex, filters=[])
+    assert found(spark, own, "Rupert") == [(1, 0, 6, 1)]
+
+
+def test_repeated_keys_and_null_texts(spark):
+    docs = spark.createDataFrame([(1, "red fox"), (1, "red fox"), (None, "fox red"), (2, None), (3, "")], "doc_id long, text string")
+    own = lower_recognizer(from_rows(spark, [(1, "red fox")]), filters=[])
+    rows = [(r.doc_id, r.matched_text) for r in own.annotate(docs).collect()]
+    assert sorted(rows, key=repr) == [(1, "red fox"), (1, "red fox"), (None, "fox red")]
+
+
 def test_a_large_dictionary_is_not_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(index, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(index, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(index, "SCAN_BYTES", 0)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         own = lower_recognizer(from_rows(spark, [(1, "red fox")]), filters=[])

@@ -23,6 +23,8 @@ def test_tsv(spark, tmp_path):
     labels = dictionary.read_tsv(spark, str(tmp_path / "d.tsv"))
     assert rows_of(labels, "concept_id", "label_index", "label") == [("a", 0, "first"), ("a", 1, '"second"'), ("b", 0, "NA")]
     assert rows_of(dictionary.read_tsv(spark, str(tmp_path / "d.tsv"), header=True), "concept_id", "label") == [("a", '"second"'), ("b", "NA")]
+    dictionary.write_tsv(dictionary.from_rows(spark, [("z", "one"), ("a", "two"), ("z", "three")]), str(tmp_path / "order"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "order")).collect()] == ["z\tone", "z\tthree", "a\ttwo"]
     dictionary.write_tsv(labels, str(tmp_path / "out"))
     assert rows_of(dictionary.read_tsv(spark, str(tmp_path / "out")), "concept_id", "label_index", "label") == rows_of(labels, "concept_id", "label_index", "label")
 
@@ -32,6 +34,8 @@ def test_dictionary(spark):
     entries = {r.id: (r.label, r.synonyms) for r in dictionary.concepts(labels).collect()}
     assert entries == {"x": ("one", ["two"]), "y": ("one", [])}
     assert rows_of(dictionary.reverse_index(labels), "label", "concept_id") == [("one", "y")]
+    # the concept loaded last wins, whatever its id
+    assert rows_of(dictionary.reverse_index(dictionary.from_rows(spark, [("z", "one"), ("a", "one")])), "label", "concept_id") == [("one", "a")]
     assert dictionary.size(labels).first()[0] == 2
     assert dictionary.lookup(dictionary.concepts(labels), "q").count() == 0
     more = dictionary.add_labels(dictionary.concept_index(labels), spark.createDataFrame([("x", "three")], "concept_id string, label string"))
