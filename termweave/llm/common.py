@@ -135,6 +135,22 @@ def claim(owner: str) -> None:
         trim(0)
 
 
+def bytes_of(table: DataFrame) -> int:
+    """The bytes of the files ``table`` is made of, as far as the planner knows them; 0 if not.
+
+    By them work is cut in tasks; results don't depend on it.
+    """
+    leaves = table._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    # tables without files, such as rows of the driver, are said to be endless
+    return sum(s for s in sizes if s < 1 << 60)
+
+
+def tasks_for(table: DataFrame, each: int, most: int = 1 << 17) -> int:
+    """Partitions for a shuffle of ``table``: ``spark.sql.shuffle.partitions``, more where they would hold over ``each`` bytes."""
+    return max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(most, -(-bytes_of(table) // each)))
+
+
 def few(ids: DataFrame) -> DataFrame:
     """``ids``, a written table of narrow rows, marked for broadcast if small.
 

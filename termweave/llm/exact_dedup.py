@@ -16,13 +16,14 @@ Equality is decided by the bytes alone; hashes only say where to meet.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, spread
+from .common import drop_path, free_names, fresh_path, materialise, spread, tasks_for
 
 COMBINE_BYTES = 24 << 20
 TRIE_BYTES = 192 << 20
@@ -270,30 +271,35 @@ def owners(docs: DataFrame, trie_bytes: int = TRIE_BYTES, combine_bytes: int = C
     spark = docs.sparkSession
     slim = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     records = slim.mapInArrow(_combine(combine_bytes), _SCHEMA).where("text is not null")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found, salt = [], 0
+    # a partition's texts should fit its trie: compressed files may hold three times their size
+    parts = tasks_for(slim, max(1, trie_bytes // 4))
+    found, salt, paths = [], 0, []
     while True:
         place = F.xxhash64(F.lit(salt), F.length("text"), "text")
         met = records.select("text", "ids").repartition(parts, place)
         path = fresh_path(spark, "owners")
         met.mapInArrow(_own(trie_bytes), _SCHEMA).write.parquet(path)
         result = spark.read.schema(_SCHEMA).parquet(path)
+        paths.append(path)
         found.append(result.where("doc_id is not null").select("doc_id", "owner_id"))
         records = result.where("text is not null")
         if records.isEmpty():
             break
         # a text that filled a trie by itself gets one of its own next time
         salt, parts, trie_bytes = salt + 1, parts * 2, trie_bytes * 2
-    total = found[0]
-    for more in found[1:]:
-        total = total.unionByName(more)
+    if not salt:
+        return found[0]
+    total = materialise(reduce(DataFrame.unionByName, found), "owned")
+    for path in paths:
+        drop_path(spark, path)
     return total
 
 
 def dedup(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows whose text a lesser id has; nulls stay."""
-    gone = owners(docs, **options).where("doc_id <> owner_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    (name,) = free_names(docs, "_gone")
+    gone = owners(docs, **options).where("doc_id <> owner_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
