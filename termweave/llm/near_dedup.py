@@ -14,20 +14,24 @@ that document is drawn again with a later stop time, which changes nothing
 about the points already seen.
 
 Plan: signatures (no shuffle) -> exact copies collapse to one document -> bands
-meet in buckets -> within a bucket the members are verified against its first
-member, then whatever is still apart is verified pair by pair -> connected
-components. No bucket, partner or candidate is capped: pairs that are skipped
-are those whose ends a verified path already joins, which can't change groups.
+meet in buckets -> each document is verified against the first member of one of
+its buckets -> what is still apart in a bucket is verified in rounds: some
+members become hubs, four times as many as in the round before, and meet all
+others of the bucket that they aren't joined with; a hub then leaves the bucket
+-> connected components. No bucket, partner or candidate is capped: pairs that
+are skipped are those whose ends a verified path already joins, which can't
+change groups.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Memo, claim, drop_tables, few, fmix64, free_names, materialise, spread
@@ -192,7 +196,7 @@ def verified(pairs: DataFrame, packed: DataFrame, threshold: float) -> DataFrame
     left = packed.select(F.col("doc_id").alias("a"), F.col("packed").alias("pa"))
     right = packed.select(F.col("doc_id").alias("b"), F.col("packed").alias("pb"))
     measure = F.arrow_udf(_overlap, "double")
-    # by a first: a bucket's first member meets all its partners there
+    # by a first: a hub meets all its partners there
     return pairs.join(left, "a").join(right, "b").where(measure("pa", "pb") >= threshold).select("a", "b").distinct()
 
 
@@ -220,6 +224,67 @@ def components(both: DataFrame) -> DataFrame:
             return labels
 
 
+def shared_keys(rows: DataFrame, value: str) -> DataFrame:
+    """``rows`` whose bucket ``key`` has two values or more; counted before rows meet."""
+    key = rows.groupBy("key").agg(F.min(value).alias("_lo"), F.max(value).alias("_hi")).where("_lo < _hi").select("key")
+    return rows.join(key, "key", "left_semi")
+
+
+def relabelled(rows: DataFrame, label: DataFrame, column: str) -> DataFrame:
+    """``rows`` with ``column`` set to its label in ``label`` (doc, label), if it has one."""
+    named = label.select(F.col("doc").alias(column), "label")
+    return rows.join(few(named), column, "left").withColumn(column, F.coalesce("label", column)).drop("label")
+
+
+def apart_pairs(apart: DataFrame, slots: int) -> tuple[DataFrame, DataFrame]:
+    """Hubs (key, hub, hub_team) of this round, and their pairs (a, b, ta, tb).
+
+    A bucket has up to ``slots`` hubs, the least document in each slot that
+    documents are hashed to.
+    """
+    slot = F.pmod(F.xxhash64("doc", F.lit(slots)), F.lit(slots))
+    hubs = apart.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("doc", "team")).alias("h"))
+    hubs = materialise(hubs.select("key", F.col("h.doc").alias("hub"), F.col("h.team").alias("hub_team")), "hubs")
+    met = apart.join(hubs, "key").where("team <> hub_team")
+    first = F.col("doc") < F.col("hub")
+    ends = F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")
+    met = met.select(*ends, F.when(first, F.col("team")).otherwise(F.col("hub_team")).alias("ta"), F.when(first, F.col("hub_team")).otherwise(F.col("team")).alias("tb"))
+    return hubs, met
+
+
+def verified_links(met: DataFrame, packed: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) verified pairs that join whatever pairs of a bucket would, a written table.
+
+    ``met`` is a written table (key, doc) of buckets, ``packed`` one of multisets.
+    """
+    # one pair per document comes first; most others then join the same component
+    star = met.join(met.groupBy("key").agg(F.min("doc").alias("first")), "key").where("doc <> first")
+    tried = materialise(star.groupBy(F.col("doc").alias("b")).agg(F.min("first").alias("a")).select("a", "b"), "pairs")
+    edges = materialise(verified(tried, packed, threshold), "verified")
+    both = both_ways(edges)
+    label = components(both)
+    drop_tables(both)
+    apart = materialise(shared_keys(relabelled(met.withColumn("team", F.col("doc")), label, "team"), "team"), "buckets")
+    drop_tables(label)
+    done, asked, slots = [edges], [tried], 1
+    while not apart.isEmpty():
+        hubs, met = apart_pairs(apart, slots)
+        pairs = materialise(met.groupBy("a", "b").agg(F.min("ta").alias("ta"), F.min("tb").alias("tb")), "pairs")
+        untried = pairs.select("a", "b").join(reduce(DataFrame.unionByName, [t.select("a", "b") for t in asked]), ["a", "b"], "left_anti")
+        edges = materialise(verified(untried, packed, threshold), "verified")
+        teams = both_ways(pairs.join(edges, ["a", "b"]).select(F.col("ta").alias("a"), F.col("tb").alias("b")))
+        label = components(teams)
+        rest = apart.join(hubs.select("key", F.col("hub").alias("doc")), ["key", "doc"], "left_anti")
+        rest = materialise(shared_keys(relabelled(rest, label, "team"), "team"), "buckets")
+        drop_tables(apart, hubs, teams, label)
+        asked.append(pairs)
+        done.append(edges)
+        apart, slots = rest, slots * 4
+    found = materialise(reduce(DataFrame.unionByName, done), "links")
+    drop_tables(apart, *done, *asked)
+    return found
+
+
 def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, group_id, links) of all documents in groups of two or more.
 
@@ -235,39 +300,21 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     slim = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialise(slim.mapInArrow(_sign, "doc_id long, same binary, bands array<long>"), "signatures")
-    copies = materialise(
-        signed.select("doc_id", F.min("doc_id").over(Window.partitionBy("same")).alias("rep")).where("doc_id <> rep").distinct(), "copies"
-    )
+    least = signed.groupBy("same").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").select("same", "rep")
+    copies = materialise(signed.select("doc_id", "same").join(least, "same").where("doc_id <> rep").select("doc_id", "rep").distinct(), "copies")
     firsts = signed.groupBy("same").agg(F.min("doc_id").alias("doc"), F.first("bands").alias("bands"))
-    met = firsts.select("doc", F.explode("bands").alias("key"))
-    key = Window.partitionBy("key")
-    met = met.select("key", "doc", F.min("doc").over(key).alias("first"), F.max("doc").over(key).alias("last")).where("first < last").select("key", "doc", "first")
-    met = materialise(met, "buckets")
+    met = materialise(shared_keys(firsts.select("doc", F.explode("bands").alias("key")), "doc"), "buckets")
     drop_tables(signed)
     wanted = materialise(met.select(F.col("doc").alias("doc_id")).distinct(), "wanted")
     # texts are picked where they lie while the ids can be sent to them
     packed = materialise(slim.join(few(wanted), "doc_id", "left_semi").mapInArrow(_pack, "doc_id long, packed binary"), "packed")
-    star = met.where("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct()
-    # one pair per document comes first; most others then join the same component
-    least = materialise(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "least")
-    joined = materialise(verified(least, packed, threshold), "verified")
-    both = both_ways(joined)
-    label = components(both)
-    named = materialise(
-        met.join(label.select("doc", F.col("label").alias("team")), "doc", "left").select("key", "doc", F.coalesce("team", "doc").alias("team")), "buckets"
-    )
-    drop_tables(both, label, met, wanted)
-    teams = Window.partitionBy("key")
-    apart = named.withColumn("lo", F.min("team").over(teams)).withColumn("hi", F.max("team").over(teams)).where("lo < hi")
-    left = apart.select("key", F.col("doc").alias("a"), F.col("team").alias("ta"))
-    right = apart.select("key", F.col("doc").alias("b"), F.col("team").alias("tb"))
-    rest = left.join(right, "key").where("a < b and ta <> tb").select("a", "b").distinct().join(least, ["a", "b"], "left_anti")
-    edges = joined.union(verified(rest, packed, threshold)).union(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
-    both = both_ways(edges)
+    edges = verified_links(met, packed, threshold)
+    drop_tables(met, wanted, packed)
+    both = both_ways(edges.unionByName(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))))
     final = components(both)
-    links = both.groupBy(F.col("a").alias("doc")).agg(F.count("*").alias("links"))
-    result = materialise(final.join(links, "doc").select(F.col("doc").alias("doc_id"), F.col("label").alias("group_id"), "links"), "groups")
-    drop_tables(copies, packed, least, joined, named, both, final)
+    counted = both.groupBy(F.col("a").alias("doc")).agg(F.count("*").alias("links"))
+    result = materialise(final.join(counted, "doc").select(F.col("doc").alias("doc_id"), F.col("label").alias("group_id"), "links"), "groups")
+    drop_tables(copies, edges, both, final)
     return result
 
 
