@@ -8,9 +8,12 @@
 3. Texts are probed against *twice*. Only lines that hit are suspects, and only
    their contents shuffle: a group-by on the line itself confirms them exactly
    and picks the first occurrence.
+4. Texts stay where they lie while the numbers of lost lines can be sent to them;
+   beyond, texts and numbers meet by id.
 
-The twice filter is broadcast while its size is under ``broadcast_limit``;
-beyond that, hashes travel to their segment instead and come back as suspects.
+The twice filter is broadcast while its size is under ``broadcast_limit``. Beyond
+that, each line's hash and place (no content) travel to the segment's part of the
+filter, and the places that hit come back to their documents as suspects.
 """
 
 from __future__ import annotations
@@ -22,11 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import claim, drop_path, free_names, fresh_path
+from .common import claim, drop_path, drop_tables, free_names, fresh_path, materialise, tasks_for
 
 PROBES = 4
 BITS_PER_HASH = 12
 BROADCAST_LIMIT = 192 << 20
+#: Bytes of lost-line numbers up to which they are sent to the texts.
+LOST_LIMIT = 96 << 20
+#: Bytes of texts per segment of the filters: a reducer holds 12 bytes per distinct line of them.
+SEGMENT_BYTES = 64 << 20
 
 
 def positions(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -74,7 +81,10 @@ def pack(hashes: np.ndarray, twice: np.ndarray, segments: int) -> Iterator[pa.Re
     )
 
 
-def _packer(segments: int, flush: int = 1 << 20):
+def _packer(segments: int):
+    # enough hashes at once that a segment's record is worth its overhead
+    flush = max(1 << 20, 16 * segments)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("line_dedup")
         held: list[np.ndarray] = []
@@ -155,45 +165,54 @@ def _probe_broadcast(spark: SparkSession, filters: DataFrame, segments: int):
     return suspect
 
 
-def _probe_shuffle(lines: DataFrame, filters: DataFrame, segments: int) -> DataFrame:
-    """Suspect hashes when the filter is too large to broadcast: (_h)."""
+def _probe_shuffle(docs: DataFrame, lines: DataFrame, filters: DataFrame, segments: int) -> DataFrame:
+    """Suspect lines when the filter is too large to broadcast: (_id, _row, _no, _line)."""
 
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not right.num_rows:
-            return pa.table({"_h": pa.array([], pa.int64())})
-        hashes = np.unique(left["_h"].to_numpy().view(np.uint64))
-        hit = hashes[Bloom(right["bits"][0].as_py(), right["data"][0].as_py()).has(hashes)]
-        return pa.table({"_h": pa.array(hit.view(np.int64))})
+        hit = np.zeros(left.num_rows, bool)
+        if right.num_rows and left.num_rows:
+            hit = Bloom(right["bits"][0].as_py(), right["data"][0].as_py()).has(left["_h"].to_numpy().view(np.uint64))
+        return left.select(["_id", "_row", "_no"]).filter(pa.array(hit))
 
     seg = F.pmod(F.shiftrightunsigned("_h", 40), F.lit(segments)).cast("int")
-    hashes = lines.select("_h").distinct().withColumn("seg", seg)
-    return hashes.groupBy("seg").cogroup(filters.groupBy("seg")).applyInArrow(check, "_h long")
+    places = lines.select("_id", "_row", "_no", "_h", seg.alias("seg"))
+    kinds = {f.name: f.dataType.simpleString() for f in places.schema.fields}
+    met = places.groupBy("seg").cogroup(filters.groupBy("seg")).applyInArrow(check, f"_id {kinds['_id']}, _row {kinds['_row']}, _no int")
+    # only documents with suspects are asked for their lines again
+    asked = met.groupBy(F.col("_id").alias("_i"), F.col("_row").alias("_r")).agg(F.collect_set("_no").alias("_nos"))
+    found = docs.join(asked, (F.col("_row") == F.col("_r")) & F.col("_id").eqNullSafe(F.col("_i")))
+    picked = found.select("_id", "_row", F.explode(F.transform("_nos", lambda n: F.struct(n.alias("_no"), F.element_at(F.split("_text", "\n"), n + 1).alias("_line")))).alias("_x"))
+    return picked.select("_id", "_row", "_x._no", "_x._line")
 
 
 def repeats(docs: DataFrame, segments: int | None = None, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
     """(_id, _row, gone array<int>): line numbers that a document must lose.
 
-    ``docs`` has (_id, _row, _text); _row tells apart rows that share an id.
+    ``docs`` has (_id, _row, _text); _row tells apart rows that share an id. The
+    result is a written table.
     """
     spark = docs.sparkSession
-    segments = segments or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    segments = segments or 4 * tasks_for(docs, 4 * SEGMENT_BYTES)
     path = fresh_path(spark, "line-filter")
     twice_filter(docs, segments).write.parquet(path)
     filters = spark.read.schema("seg int, bits long, data binary").parquet(path)
     size = filters.agg(F.sum(F.length("data"))).first()[0] or 0
     lines = lines_of(docs).withColumn("_h", F.xxhash64("_line"))
     if size <= broadcast_limit:
-        probe = _probe_broadcast(spark, filters, segments)
-        drop_path(spark, path)
-        suspects = lines.where(probe("_h"))
+        found = lines.where(_probe_broadcast(spark, filters, segments)("_h")).drop("_h")
     else:
-        suspects = lines.join(_probe_shuffle(lines, filters, segments), "_h", "left_semi")
+        found = _probe_shuffle(docs, lines, filters, segments)
+    # written, as they are read twice and found by Python
+    suspects = materialise(found, "suspects")
+    drop_path(spark, path)
     # the line itself is the key: equal hashes don't make lines equal. One entry
     # per (line, document) first, so a line that fills one document stays small
     place = F.struct("_id", "_row", "_no")
     first = suspects.groupBy("_line").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
     later = suspects.join(first, "_line").where(~place.eqNullSafe(F.col("_first")))
-    return later.groupBy("_id", "_row").agg(F.collect_set("_no").alias("gone"))
+    gone = materialise(later.groupBy("_id", "_row").agg(F.collect_set("_no").alias("gone")), "lost-lines")
+    drop_tables(suspects)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, segments: int | None = None, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
@@ -213,11 +232,15 @@ def dedup_lines(docs: DataFrame, segments: int | None = None, broadcast_limit: i
     slim = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_row"), F.col("text").alias("_text"))
     row, gid, grow, cut, new = free_names(docs, "_trow", "_gid", "_grow", "_gone", "_new")
     gone = repeats(slim, segments, broadcast_limit)
+    size = gone.agg(F.sum(F.size("gone") * 4 + 48)).first()[0] or 0
     gone = gone.select(F.col("_id").alias(gid), F.col("_row").alias(grow), F.col("gone").alias(cut))
+    gone = F.broadcast(gone) if size <= LOST_LIMIT else gone
     # the row hash is part of every key, so the join needs no null-safe form for it
     joined = docs.withColumn(row, F.xxhash64("text")).join(gone, (F.col(row) == F.col(grow)) & F.col("doc_id").eqNullSafe(F.col(gid)), "left")
-    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(F.col(cut), i))
-    rebuilt = F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    # linear in the lines, however many go: split once, as a lambda's variable
+    left = lambda ls: F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col(cut))
+    kept = F.transform(F.array(F.split("text", "\n")), lambda ls: F.array_join(F.transform(left(ls), lambda i: F.element_at(ls, i + 1)), "\n"))
+    rebuilt = F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.element_at(kept, 1))
     out = joined.withColumn(new, rebuilt).where(F.col(cut).isNull() | (F.length(F.trim(F.translate(new, "\n", " "))) > 0))
     values = []
     for field in docs.schema.fields:
@@ -227,7 +250,7 @@ def dedup_lines(docs: DataFrame, segments: int | None = None, broadcast_limit: i
             length = F.when(F.col(cut).isNull(), F.col("n_chars")).otherwise(F.length(new))
             values.append(length.cast(field.dataType).alias("n_chars"))
         else:
-            values.append(docs[field.name])
+            values.append(F.col("`" + field.name.replace("`", "``") + "`"))
     return out.select(*values)
 
 
