@@ -18,13 +18,18 @@ that repeat, the batch's documents, and documents whose anchor is met for the
 second time, give windows; these are merge-joined with the window runs.
 Equal windows in a row become spans, spans are verified against the words they
 repeat, and the batch's new hashes are a new run of each kind. ``FANOUT`` runs of
-a kind are compacted to one.
+a level are compacted to one of the next level, so a hash is rewritten once a
+level. Texts are picked where they lie while the ids of those that are asked for
+can be sent to them. An index is saved as a manifest of its runs, and opened by
+a later session.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,16 +37,25 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, drop_path, fmix64, fresh_path, materialise, spread
+from .common import Memo, claim, drop_path, drop_tables, few, fmix64, fresh_path, materialise, spread
 
 PASSAGE = 50
 ANCHOR = 25
 BATCHES = 3
-FANOUT = 4
+FANOUT = 2
+#: Array elements up to which (id, array) rows are broadcast to texts (some 64 MB).
+BROADCAST_ITEMS = 4_000_000
 _HASH = Memo(xxhash.xxh64_intdigest, 60_000, "substring_dedup")
 _STEP = np.uint64(0xD1342543DE82EF95)
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of few documents: what a kernel holds grows with them."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def word_hashes(words: list[str]) -> np.ndarray:
     return np.fromiter(map(_HASH.__getitem__, words), np.uint64, len(words))
 
@@ -94,7 +108,8 @@ def anchors(h: np.ndarray, anchor: int = ANCHOR, passage: int = PASSAGE) -> tupl
 
 def _fingerprints(anchor: int, passage: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        claim("substring_dedup")
+        for batch in parts(batches):
             ids, hashes = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 _, found = anchors(word_hashes(text.split()), anchor, passage)
@@ -113,7 +128,7 @@ def _windows(anchor: int, passage: int):
     """Rows (doc_id, text, own, hs) to windows around the anchors in ``hs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             ids, hashes, places, owned = [], [], [], []
             for doc_id, text, own, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
                 h = word_hashes(text.split())
@@ -143,7 +158,7 @@ def _windows(anchor: int, passage: int):
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Digest of the words of each span (first, words) of a document."""
-    for batch in batches:
+    for batch in parts(batches):
         ids, firsts, sizes, digests = [], [], [], []
         for doc_id, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             words = text.split()
@@ -156,46 +171,59 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "first": pa.array(firsts, pa.int32()), "words": pa.array(sizes, pa.int32()), "digest": pa.array(digests, pa.binary())})
 
 
+def with_texts(texts: DataFrame, asked: DataFrame, items: str) -> DataFrame:
+    """``texts`` joined with ``asked``, a written table (doc_id, ``items`` array).
+
+    Texts stay where they lie while what is asked can be sent to them; beyond,
+    those that nothing asks for are left out before the shuffle while their ids
+    can be.
+    """
+    size = asked.agg(F.sum(F.size(items) + 3)).first()[0] or 0
+    if size <= BROADCAST_ITEMS:
+        return texts.join(F.broadcast(asked), "doc_id")
+    return texts.join(few(asked.select("doc_id")), "doc_id", "left_semi").join(asked, "doc_id")
+
+
 class Runs:
     """One kind of immutable runs: (h, doc_id[, place]), one row per hash."""
 
     def __init__(self, spark: SparkSession, kind: str, columns: list[str], buckets: int):
         self.spark, self.kind, self.columns, self.buckets = spark, kind, columns, buckets
-        self.tables: list[tuple[str, str]] = []
+        self.tables: list[tuple[str, str, int]] = []
 
-    def write(self, rows: DataFrame) -> DataFrame:
-        """Write rows as a sorted, bucketed table and read it."""
+    def write(self, rows: DataFrame, level: int) -> None:
+        """Write rows as a sorted, bucketed table."""
         path = fresh_path(self.spark, self.kind)
         name = path.rpartition("/")[2].replace("-", "_")
         rows.repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h").format("parquet").option("path", path).saveAsTable(name)
-        self.tables.append((name, path))
-        return self.spark.table(name)
+        self.tables.append((name, path, level))
 
     def add(self, rows: DataFrame) -> None:
-        self.write(rows.select(*self.columns))
-        if len(self.tables) >= FANOUT:
-            self.compact()
-
-    def compact(self) -> None:
-        """Merge all runs; a hash keeps its row of the earliest run."""
-        old = self.tables
-        merged = self.read()
-        self.tables = []
-        self.write(merged.select(*self.columns))
+        self.write(rows.select(*self.columns), 0)
+        level = 0
+        while sum(t[2] == level for t in self.tables) >= FANOUT:
+            self.compact(level)
+            level += 1
+
+    def compact(self, level: int) -> None:
+        """Merge a level's runs into one of the next; their hashes are disjoint."""
+        old = [t for t in self.tables if t[2] == level]
+        merged = reduce(DataFrame.unionByName, [self.spark.table(name) for name, _, _ in old])
+        self.tables = [t for t in self.tables if t[2] != level]
+        self.write(merged.select(*self.columns), level + 1)
         for table in old:
             self.drop(table)
 
-    def drop(self, table: tuple[str, str]) -> None:
+    def drop(self, table: tuple[str, str, int]) -> None:
         self.spark.sql(f"drop table if exists {table[0]}")
         drop_path(self.spark, table[1])
 
-    def read(self) -> DataFrame | None:
-        """All runs; their hashes are disjoint, since a run holds only new ones."""
-        found = None
-        for name, _ in self.tables:
-            one = self.spark.table(name)
-            found = one if found is None else found.unionByName(one)
-        return found
+    def attach(self, path: str, level: int) -> None:
+        """Take in a run that an earlier session wrote."""
+        name = path.rpartition("/")[2].replace("-", "_")
+        kinds = ", ".join(f"{c} {'int' if c == 'place' else 'bigint'}" for c in self.columns)
+        self.spark.sql(f"create table if not exists {name} ({kinds}) using parquet clustered by (h) sorted by (h) into {self.buckets} buckets location '{path}'")
+        self.tables.append((name, path, level))
 
     def known(self, rows: DataFrame, own: list[str]) -> list[DataFrame]:
         """For each run its rows that ``rows`` (bucketed alike) has too.
@@ -203,7 +231,7 @@ class Runs:
         The runs' columns besides h are renamed to ``own``.
         """
         result = []
-        for name, _ in self.tables:
+        for name, _, _ in self.tables:
             run = self.spark.table(name).select("h", *[F.col(c).alias(o) for c, o in zip(self.columns[1:], own)])
             result.append(run.join(rows.select("h").distinct(), "h", "left_semi"))
         return result
@@ -218,8 +246,24 @@ class Index:
         self.anchor_runs = Runs(spark, "anchors", ["h", "doc_id"], buckets)
         self.window_runs = Runs(spark, "windows", ["h", "doc_id", "place"], buckets)
 
+    def save(self, folder: str) -> None:
+        """Write the manifest; the runs lie in the shared folder and stay there."""
+        known = {runs.kind: [[path, level] for _, path, level in runs.tables] for runs in (self.anchor_runs, self.window_runs)}
+        content = json.dumps({"anchor": self.anchor, "passage": self.passage, "buckets": self.anchor_runs.buckets, "runs": known})
+        self.spark.createDataFrame([(content,)], "value string").coalesce(1).write.mode("overwrite").text(folder)
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> Index:
+        """The index of a manifest, to go on with new batches."""
+        known = json.loads(spark.read.text(folder).first()["value"])
+        found = cls(spark, known["anchor"], known["passage"], known["buckets"])
+        for runs in (found.anchor_runs, found.window_runs):
+            for path, level in known["runs"][runs.kind]:
+                runs.attach(path, level)
+        return found
+
     def ingest(self, batch: DataFrame, history: DataFrame | None) -> DataFrame:
-        """Verified spans (doc_id, first, words, from_id, from_first) of ``batch``.
+        """Verified spans (doc_id, first, words, from_id, from_first) of ``batch``, a written table.
 
         Both tables have (doc_id, text). ``history`` holds what was ingested
         before: only documents whose anchor is met again are read from it.
@@ -237,9 +281,11 @@ class Index:
         merged = materialise(merged, "merged")
         again = merged.where("_n > 1 or _old is not null")
         wanted = prints.join(again.select("h"), "h").union(again.where("_old is not null").select("h", "_old")).distinct()
-        texts = wanted.groupBy("doc_id").agg(F.collect_list("h").alias("hs")).join(whole, "doc_id").select("doc_id", "text", "own", "hs")
+        wanted = materialise(wanted.groupBy("doc_id").agg(F.collect_list("h").alias("hs")), "wanted")
+        texts = with_texts(whole, wanted, "hs").select("doc_id", "text", "own", "hs")
         windows = materialise(texts.mapInArrow(_windows(self.anchor, self.passage), "h long, doc_id long, place int, own boolean"), "places")
         self.anchor_runs.add(merged.where("_old is null"))
+        drop_tables(prints, merged, wanted)
         # a run's place is earlier than history's, and that than the batch's
         place = F.struct("own", "doc_id", "place")
         firsts = windows.groupBy("h").agg(F.min(place).alias("_first"), F.count("*").alias("_n"))
@@ -254,7 +300,9 @@ class Index:
         self.window_runs.add(new)
         repeated = known.where("_n > 1 or not _new").select("h", "from_id", "from_place")
         hits = windows.where("own").join(repeated, "h").where("not (doc_id = from_id and place = from_place)")
-        return self._verified(self._spans(hits), whole)
+        found = self._verified(self._spans(hits), whole)
+        drop_tables(windows, known)
+        return found
 
     @staticmethod
     def _union(parts: list[DataFrame]) -> DataFrame | None:
@@ -275,11 +323,14 @@ class Index:
         """Spans whose words are those of the passage they repeat."""
         spans = materialise(spans, "spans")
         sides = spans.select("doc_id", F.struct("first", "words").alias("s")).union(spans.select("from_id", F.struct("from_first", "words"))).distinct()
-        digests = sides.groupBy("doc_id").agg(F.collect_list("s").alias("spans")).join(texts, "doc_id").select("doc_id", "text", "spans")
+        sides = materialise(sides.groupBy("doc_id").agg(F.collect_list("s").alias("spans")), "sides")
+        digests = with_texts(texts, sides, "spans").select("doc_id", "text", "spans")
         digests = materialise(digests.mapInArrow(_digests, "doc_id long, first int, words int, digest binary"), "digests")
         theirs = digests.select(F.col("doc_id").alias("from_id"), F.col("first").alias("from_first"), "words", F.col("digest").alias("_digest"))
         joined = spans.join(digests, ["doc_id", "first", "words"]).join(theirs, ["from_id", "from_first", "words"])
-        return joined.where("digest = _digest").select("doc_id", "first", "words", "from_id", "from_first")
+        found = materialise(joined.where("digest = _digest").select("doc_id", "first", "words", "from_id", "from_first"), "repeats")
+        drop_tables(spans, sides, digests)
+        return found
 
     def close(self) -> None:
         for runs in (self.anchor_runs, self.window_runs):
@@ -319,7 +370,7 @@ def repeats(docs: DataFrame, batches: int = BATCHES, anchor: int = ANCHOR, passa
             part = part.where(F.col("doc_id") > low)
         if high is not None:
             part = part.where(F.col("doc_id") <= high)
-        spans = materialise(index.ingest(part, None if low is None else single.where(F.col("doc_id") <= low)), "repeats")
+        spans = index.ingest(part, None if low is None else single.where(F.col("doc_id") <= low))
         found = spans if found is None else found.unionByName(spans)
     index.close()
     return found

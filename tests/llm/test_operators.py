@@ -98,6 +98,34 @@ def test_near_groups_against_brute_force(spark):
     assert all(leader[i] == leader[g] for i, g in found.items())
 
 
+def test_one_bucket_of_strangers_and_teams(spark):
+    """Everything meets in one bucket: the rounds find what all pairs would."""
+    rng = random.Random(13)
+    texts = []
+    for i in range(14):
+        base = [f"b{i}_{k}" for k in range(40)]
+        for step in range(rng.choice([1, 1, 2, 5])):
+            # each a bit further from the first: chains that only their neighbours join
+            texts.append(" ".join(["x%d_%d" % (i, k) if k < 7 * step else w for k, w in enumerate(base)]))
+    rng.shuffle(texts)
+    rows = [(i, *near_dedup.shingles(t)) for i, t in enumerate(texts)]
+    packed = spark.createDataFrame([(i, e.tobytes() + c.astype(np.uint32).tobytes()) for i, e, c in rows], "doc_id long, packed binary")
+    met = spark.createDataFrame([(7, i) for i, _, _ in rows] + [(8, 0), (8, 1)], "key long, doc long")
+    links = near_dedup.verified_links(met, packed, near_dedup.THRESHOLD)
+    close = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if jaccard(texts[i], texts[j]) >= near_dedup.THRESHOLD}
+    found = {tuple(sorted(r)) for r in links.collect()}
+    assert found <= close and len(found) == links.count()
+
+    def least(edges):
+        lead = list(range(len(texts)))
+        for _ in texts:
+            for i, j in edges:
+                lead[i] = lead[j] = min(lead[i], lead[j])
+        return lead
+
+    assert least(found) == least(close)
+
+
 def test_near_awkward(awkward, empty):
     assert near_dedup.groups(empty).count() == 0
     groups = dict(pairs(near_dedup.groups(awkward), "doc_id", "group_id"))
@@ -299,6 +327,19 @@ def test_lines_against_brute_force(spark, limit):
     assert pairs(line_dedup.dedup_lines(docs, segments=3, broadcast_limit=limit), "doc_id", "text") == lines_by_hand(rows)
 
 
+def test_lines_where_numbers_are_too_many_to_send(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LOST_LIMIT", -1)
+    rows = [(i, "\n".join(f"l{k % 5}" for k in range(i, i + 4))) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert pairs(line_dedup.dedup_lines(docs), "doc_id", "text") == lines_by_hand(rows)
+
+
+def test_lines_beside_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a\nb", 1, 2, 3), (2, "b\nc", 4, 5, 6)], ["doc_id", "text", "a.b", "_gone", "_new"])
+    out = line_dedup.dedup_lines(docs)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == [(1, "a\nb", 1, 2, 3), (2, "c", 4, 5, 6)]
+
+
 def test_lines_awkward(awkward, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
     out = line_dedup.dedup_lines(awkward)
@@ -463,6 +504,30 @@ def test_passages_against_brute_force(spark, passages, batches):
         assert (r.from_id, r.from_first) < (r.doc_id, r["first"])
 
 
+def test_passages_where_texts_must_move(spark, passages, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BROADCAST_ITEMS", -1)
+    rows = substring_dedup.repeats(spark.createDataFrame(passages, "doc_id long, text string"), 2).collect()
+    assert {(r.doc_id, w) for r in rows for w in range(r.first, r.first + r.words)} == repeated_words(passages, 50)
+
+
+def test_an_index_goes_on_from_its_manifest(spark, passages, tmp_path):
+    docs = spark.createDataFrame(passages, "doc_id long, text string")
+    whole = {tuple(r) for r in substring_dedup.repeats(docs, 1).collect()}
+    index, got = substring_dedup.Index(spark), set()
+    for low, high in zip([0, 20, 40, 60, 80, 100], [20, 40, 60, 80, 100, 120]):
+        part = docs.where(f"doc_id >= {low} and doc_id < {high}")
+        got |= {tuple(r) for r in index.ingest(part, docs.where(f"doc_id < {low}") if low else None).collect()}
+        index.save(str(tmp_path / "manifest"))
+        names = [t[0] for runs in (index.anchor_runs, index.window_runs) for t in runs.tables]
+        assert len(names) <= 2 * 2 * (substring_dedup.FANOUT - 1)
+        for name in names:  # as in a session that knows no tables
+            spark.sql(f"drop table {name}")
+        index = substring_dedup.Index.open(spark, str(tmp_path / "manifest"))
+    index.close()
+    words = lambda rows: {(r[0], w) for r in rows for w in range(r[1], r[1] + r[2])}
+    assert words(got) == words(whole) == repeated_words(passages, 50)
+
+
 def test_anchors_hit_every_passage():
     rng = np.random.default_rng(7)
     passage = rng.integers(1, 1 << 62, 50).astype(np.uint64)
