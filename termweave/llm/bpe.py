@@ -33,6 +33,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The public pre-token pattern that belongs to the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MEMO_WORDS = 40_000
+#: Chunks repeat less than their words do; letters alone are kept here only.
+MEMO_CHUNKS = 120_000
 MEMO_PAIRS = 100_000
 ODD_SPACE = regex.compile(r"[^\S \n]").search
 
@@ -46,19 +48,23 @@ class Codec:
         self.ranks = ranks
         self.bytes = {rank: token.encode("latin-1") for token, rank in ranks.items()}
         self.text = {rank: token for token, rank in ranks.items()}
+        self.size = {rank: len(token) for token, rank in ranks.items()}
         self.find = regex.compile(pattern).findall
         self.automaton = ahocorasick.Automaton()
         for token, rank in ranks.items():
             self.automaton.add_word(token, rank)
         self.automaton.make_automaton()
+        self.most = max(map(len, ranks))
         self.parts = {}
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
             if len(token) > 1:
                 self.parts[rank] = self._last_merge(token)
         self.shorter: dict[int, int] = {}
+        #: By string of a trie node (there are few of them), the longest token it begins with.
+        self.first: dict[str, int] = {}
         self.pairs: dict[int, bool] = {}
         self.pieces = Memo(self._piece, MEMO_WORDS, "bpe")
-        self.chunks = Memo(self._chunk, MEMO_WORDS, "bpe")
+        self.chunks = Memo(self._chunk, MEMO_CHUNKS, "bpe")
 
     def _last_merge(self, token: str) -> tuple[int, int]:
         """The two tokens whose merge makes ``token`` (itself, if nothing does)."""
@@ -123,52 +129,67 @@ class Codec:
             self.shorter[token] = found
         return found
 
-    def longest(self, piece: str) -> list[int]:
-        """Longest token that starts at each position.
+    def longest(self, piece: str, at: int) -> int:
+        """The longest token that starts at ``at``.
 
-        The automaton reports the longest match *ending* at each position with
-        its suffix matches; every one is offered to the position it starts at.
+        The automaton's trie tells how far any token could reach; single bytes
+        are tokens, so a match is found.
         """
-        best, size = [-1] * len(piece), [0] * len(piece)
-        text = self.text
-        for end, rank in self.automaton.iter(piece):
-            n = len(text[rank])
-            start = end - n + 1
-            if n > size[start]:
-                best[start], size[start] = rank, n
-        return best
+        rest = piece[at : at + self.most]
+        rest = rest[: self.automaton.longest_prefix(rest)]
+        rank = self.first.get(rest)
+        if rank is None:
+            rank = self.first[rest] = next(r for n in range(len(rest), 0, -1) if (r := self.ranks.get(rest[:n])) is not None)
+        return rank
 
     def encode_piece(self, piece: str) -> tuple[int, ...]:
         """Token ids of one pre-token given as Latin-1 characters."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        starts = self.longest(piece)
+        starts = [-1] * len(piece)
         tokens: list[int] = []
         dead = bytearray(len(piece) + 1)
-        at, token, text = 0, starts[0], self.text
+        size, pairs, shorter = self.size, self.pairs, self.shorter
+        at, token, last = 0, self.longest(piece, 0), -1
         while True:
-            end = at + len(text[token])
-            if not dead[end] and (not tokens or self.compatible(tokens[-1], token)):
-                tokens.append(token)
-                at = end
-                if at == len(piece):
-                    return tuple(tokens)
-                token = starts[at]
-                continue
-            shorter = self.next_shorter(token)
-            if shorter >= 0:
-                token = shorter
+            end = at + size[token]
+            if not dead[end]:
+                fits = last < 0 or pairs.get(last << 32 | token)
+                if fits is None:
+                    fits = self.compatible(last, token)
+                if fits:
+                    tokens.append(token)
+                    if end == len(piece):
+                        return tuple(tokens)
+                    at, last = end, token
+                    token = starts[at]
+                    if token < 0:
+                        token = starts[at] = self.longest(piece, at)
+                    continue
+            less = shorter.get(token)
+            if less is None:
+                less = self.next_shorter(token)
+            if less >= 0:
+                token = less
                 continue
             # no token fits here after the one before: take that back
             dead[at] = 1
             token = tokens.pop()
-            at -= len(text[token])
+            at -= size[token]
+            last = tokens[-1] if tokens else -1
 
     def _piece(self, piece: str) -> tuple[int, ...]:
         return self.encode_piece(piece.encode("utf-8").decode("latin-1"))
 
     def _chunk(self, chunk: str) -> tuple[int, ...]:
+        # letters alone are one pre-token, and the chunk's memo keeps it; newer letters depend on the
+        # Unicode version, so the pattern tells them
+        if chunk.isalpha() and (chunk.isascii() or max(chunk) < "\u0250"):
+            return self._piece(" " + chunk)
+        word = chunk[:-1]
+        if chunk and chunk[-1] in ".,;:!?" and word.isalpha() and (word.isascii() or max(word) < "\u0250"):
+            return (*self.pieces[" " + word], *self.pieces[chunk[-1]])
         return tuple(chain.from_iterable(map(self.pieces.__getitem__, self.find(" " + chunk))))
 
     def encode(self, value: str) -> list[int]:

@@ -167,6 +167,14 @@ def test_bpe_on_long_pieces(codec, merges, text):
     assert codec.encode(text) == merges.encode_ordinary(text)
 
 
+def test_bpe_words_are_kept_once(merges):
+    """Chunks that skip the pattern are coded as it would; letters alone stay out of the other memo."""
+    own = bpe.Codec(bpe.VOCABULARY)
+    for text in ["a thinbleing über.", "x ΑΣǅ ɐb ª º ͅ ", ", . .a a. 1. é. ñ,ñ _ß. a.b.", "á. ɐ ʰa it's don't 's, ’s."]:
+        assert own.encode(text) == merges.encode(text)
+    assert "thinbleing" in own.chunks and " thinbleing" not in own.pieces
+
+
 def test_bpe_awkward(awkward, empty):
     assert bpe.encode(empty).count() == 0
     coded = bpe.encode(awkward)
