@@ -1,7 +1,8 @@
 """Byte-level BPE: encode by backtracking over longest matches, decode by lookup.
 
-Bytes become Latin-1 characters, so an Aho-Corasick automaton over the
-vocabulary (pyahocorasick, which takes str) works on bytes. Encoding goes left to
+Bytes become Latin-1 characters, so the trie of an Aho-Corasick automaton over
+the vocabulary (pyahocorasick, which takes str) works on bytes; it is asked where a
+token may start, its failure links aren't used. Encoding goes left to
 right: take the longest token that matches here and is *compatible* with the
 token before it; with none left, take the token before back and try its next
 shorter one. Two tokens are compatible if merging their joined bytes yields
