@@ -128,6 +128,11 @@ def claim(owner: str) -> None:
     for other, free in _RELEASES:
         if other != owner:
             free()
+    give_back()
+
+
+def give_back() -> None:
+    """Freed memory of this worker goes back to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

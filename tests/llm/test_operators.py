@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from conftest import SMALL
@@ -751,6 +752,27 @@ def test_ranking_is_fitted_on_every_labelled_row(spark):
     assert (again.words == model.words).all() and again.threshold == model.threshold and again.toxicity.weights == model.toxicity.weights
 
 
+def test_ranking_parts_travel_in_pieces(monkeypatch):
+    """No value holds a whole part, and the pieces with some marks' rows make the part again."""
+    monkeypatch.setattr(quality_classifier, "PIECE", 1000, raising=False)
+    rng = random.Random(16)
+    texts = [prose(rng, rng.randint(20, 60)) + f" own{i} own{i + 1}" for i in range(200)]
+    ids = rng.sample(range(1000), 200)
+    rows = [(i, t, i % 3) for i, t in zip(ids, texts)] + [(ids[5], "~ later text", ids[5] % 3)]
+    table = pa.table({"part": [4] * 201, "doc_id": [r[0] for r in rows], "text": [r[1] for r in rows], "grade": pa.array([r[2] for r in rows], pa.int32())})
+    read = quality_classifier._read_part(0)(table).drop_columns("summary").to_pylist()
+    assert max(len(v) for r in read for v in r.values() if isinstance(v, bytes)) <= 1000
+    order = sorted(range(200), key=lambda k: ids[k])
+    whole = quality_classifier.Part([texts[k] for k in order], np.array([ids[k] % 3 for k in order]), [0, 2, 4])
+    pieces = [r["content"] for r in sorted((r for r in read if r["mark"] is None), key=lambda r: r["piece"])]
+    some = {r["mark"]: r["content"] for r in read if r["mark"] is not None and hash(r["content"]) % 2}
+    part = quality_classifier.Part.unpacked(pieces, some)
+    assert len(pieces) > 1 and (part.grade == whole.grade).all() and (part.held == whole.held).all() and (part.dense == whole.dense).all() and part.seed == whole.seed
+    of = lambda p, i: {p.names[m] for m in p.marks.of(np.array([i]))[0]}
+    for i in range(200):
+        assert (part.slots.of(np.array([i]))[0] == whole.slots.of(np.array([i]))[0]).all() and of(part, i) == of(whole, i) & some.keys()
+
+
 def test_labelling_bounds_hold_on_rows(spark):
     """An id on 3,000 rows is one document, and which text is its own doesn't hang on their order."""
     rows = [(1, f"text {i}", "en") for i in range(3000)] + [(i, f"other {i}", "fr") for i in range(2, 40)]
