@@ -10,6 +10,10 @@ just these two again. Merge order makes that check local, so a
 sequence whose neighbours all are compatible is the sequence that BPE makes.
 Positions found to be dead ends are remembered, so time is linear in the length.
 
+Most new pre-tokens are short words. Those of many texts are merged at once, as
+rows of a matrix: each round merges the pair of least rank in every row
+(``Merger``). Where few are new, and for long ones, there is backtracking.
+
 Pair checks and pre-tokens are memoised per worker, within bounds.
 """
 
@@ -17,7 +21,7 @@ from __future__ import annotations
 
 import base64
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -37,9 +41,102 @@ MEMO_WORDS = 40_000
 #: Chunks repeat less than their words do; letters alone are kept here only.
 MEMO_CHUNKS = 120_000
 MEMO_PAIRS = 100_000
+#: Bytes of the longest word that is merged with others, and how many new words make that worthwhile.
+SHORT = 32
+MANY = 100
+#: Characters of the texts that are cut in words together.
+GROUP = 1 << 20
 ODD_SPACE = regex.compile(r"[^\S \n]").search
 
 
+class Merger:
+    """Merges the bytes of many short words at once: each round one pair of every word."""
+
+    NONE = np.iinfo(np.int32).max
+    ROWS = 2048
+    _SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, ranks: dict[str, int]):
+        self.ids = list(range(max(ranks.values()) + 1))
+        #: Beyond a word's end; in no pair.
+        self.end = len(self.ids)
+        pairs = [(a, b, rank) for token, rank in ranks.items() for n in range(1, len(token)) if (a := ranks.get(token[:n])) is not None and (b := ranks.get(token[n:])) is not None]
+        left, right, found = np.array(pairs, np.int64).reshape(-1, 3).T
+        bits = max(4, (4 * len(pairs)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.found = np.full(1 << bits, -1, np.int64), np.full(1 << bits, self.NONE, np.int32)
+        key = self._key(left, right)
+        slot = self._slot(key)
+        while len(key):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = key[free]
+            own = self.keys[slot] == key
+            self.found[slot[own]] = found[own]
+            key, found, slot = key[~own], found[~own], (slot[~own] + 1) & self.mask
+        self.single = np.array([ranks[chr(i)] for i in range(256)], np.int32)
+        self.double = self.rank(np.repeat(self.single, 256), np.tile(self.single, 256)).reshape(256, 256)
+
+    def _key(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return left.astype(np.int64) * (self.end + 1) + right
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * self._SPREAD) >> self.shift).astype(np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the token that each pair makes, or ``NONE``."""
+        key = self._key(left, right)
+        slot = self._slot(key)
+        there = self.keys[slot]
+        result = np.where(there == key, self.found[slot], self.NONE)
+        rest = np.flatnonzero((there != key) & (there >= 0))
+        while len(rest):
+            slot[rest] = at = (slot[rest] + 1) & self.mask
+            there = self.keys[at]
+            hit = there == key[rest]
+            result[rest[hit]] = self.found[at[hit]]
+            rest = rest[~hit & (there >= 0)]
+        return result
+
+    def merge(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        """Token ids of each word."""
+        out: list[tuple[int, ...]] = [()] * len(words)
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        for start in range(0, len(order), self.ROWS):
+            self._merge(words, order[start : start + self.ROWS], out)
+        return out
+
+    def _merge(self, words: list[bytes], order: list[int], out: list[tuple[int, ...]]) -> None:
+        width = len(words[order[-1]])
+        letters = np.frombuffer(b"".join([words[i].ljust(width, b"\0") for i in order]), np.uint8).reshape(-1, width)
+        size = np.array([len(words[i]) for i in order])
+        beyond = np.arange(width) >= size[:, None]
+        tokens, ranks = self.single[letters], self.double[letters[:, :-1], letters[:, 1:]]
+        tokens[beyond] = self.end
+        ranks[beyond[:, 1:]] = self.NONE
+        which = np.array(order)
+        while True:
+            at = ranks.argmin(1) if ranks.shape[1] else np.zeros(len(ranks), np.int64)
+            best = ranks[np.arange(len(at)), at] if ranks.shape[1] else np.full(len(at), self.NONE)
+            over = best == self.NONE
+            if over.any():
+                # rows from ranges share their numbers, so memos are small
+                for i, n, row in zip(which[over].tolist(), size[over].tolist(), tokens[over].tolist()):
+                    out[i] = tuple(map(self.ids.__getitem__, row[:n]))
+                if over.all():
+                    return
+                go = ~over
+                tokens, ranks, which, size, at, best = tokens[go], ranks[go], which[go], size[go], at[go], best[go]
+            rows, last = np.arange(len(at)), tokens.shape[1] - 2
+            tokens[rows, at] = best
+            tokens = tokens[np.arange(last + 2) != at[:, None] + 1].reshape(len(at), -1)
+            ranks = ranks[np.arange(last + 1) != at[:, None]].reshape(len(at), -1)
+            size -= 1
+            some = np.flatnonzero(at > 0)
+            ranks[some, at[some] - 1] = self.rank(tokens[some, at[some] - 1], best[some])
+            some = np.flatnonzero(at < last)
+            ranks[some, at[some]] = self.rank(best[some], tokens[some, at[some] + 1])
+
+
 class Codec:
     """Encoder and decoder for a file of ``base64(token) rank`` lines."""
 
@@ -60,12 +157,14 @@ class Codec:
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
             if len(token) > 1:
                 self.parts[rank] = self._last_merge(token)
+        self.merger = Merger(ranks)
         self.shorter: dict[int, int] = {}
         #: By string of a trie node (there are few of them), the longest token it begins with.
         self.first: dict[str, int] = {}
         self.pairs: dict[int, bool] = {}
         self.pieces = Memo(self._piece, MEMO_WORDS, "bpe")
         self.chunks = Memo(self._chunk, MEMO_CHUNKS, "bpe")
+        self.words = Memo(self._piece, MEMO_CHUNKS, "bpe")
 
     def _last_merge(self, token: str) -> tuple[int, int]:
         """The two tokens whose merge makes ``token`` (itself, if nothing does)."""
@@ -148,6 +247,9 @@ class Codec:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
+        return self._by_backtracking(piece)
+
+    def _by_backtracking(self, piece: str) -> tuple[int, ...]:
         starts = [-1] * len(piece)
         tokens: list[int] = []
         dead = bytearray(len(piece) + 1)
@@ -207,6 +309,28 @@ class Codec:
         out.extend(chain.from_iterable(map(self.chunks.__getitem__, rest)))
         return out
 
+    def encode_all(self, values: Iterable[str]) -> Iterator[list[int]]:
+        """Token ids of each text, as ``encode`` gives them; new words of some texts are merged at once."""
+        group, size = [], 0
+        for value in values:
+            group.append(value)
+            size += len(value)
+            if size >= GROUP:
+                yield from self._encode_group(group)
+                group, size = [], 0
+        yield from self._encode_group(group)
+
+    def _encode_group(self, values: list[str]) -> Iterator[list[int]]:
+        cut = [self.find(value) for value in values]
+        words = self.words
+        new = [w for w in set().union(*cut).difference(words.old) if w not in words]
+        todo = [(w, b) for w in new if len(b := w.encode("utf-8")) <= SHORT and b.decode("latin-1") not in self.ranks]
+        if len(todo) >= MANY:
+            for (word, _), tokens in zip(todo, self.merger.merge([b for _, b in todo])):
+                words.put(word, tokens)
+        for pieces in cut:
+            yield list(chain.from_iterable(map(words.__getitem__, pieces)))
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
@@ -229,13 +353,15 @@ def _runner(path: str):
                 part = batch.slice(start, 128)
                 ids, ends, same = [], [0], []
                 missing = []
-                for value in part.column(1).to_pylist():
+                values = part.column(1).to_pylist()
+                coded = own.encode_all(v for v in values if v is not None)
+                for value in values:
                     if value is None:
                         missing.append(True)
                         same.append(None)
                     else:
                         missing.append(False)
-                        tokens = own.encode(value)
+                        tokens = next(coded)
                         same.append(own.decode(tokens) == value.encode("utf-8"))
                         ids.append(np.array(tokens, np.int32))
                     ends.append(ends[-1] + (0 if missing[-1] else len(ids[-1])))

@@ -96,11 +96,14 @@ class Memo(dict):
             found = self.make(key)
             if len(key) >= 80:
                 return found
+        self.put(key, found)
+        return found
+
+    def put(self, key, found) -> None:
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
         self[key] = found
-        return found
 
     def free(self) -> None:
         self.clear()

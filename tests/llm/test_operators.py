@@ -176,6 +176,24 @@ def test_bpe_words_are_kept_once(merges):
     assert "thinbleing" in own.chunks and " thinbleing" not in own.pieces
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("abcdeiorstu  \n\t'0129éß漢😀"), st.characters(exclude_categories=["Cs"])), max_size=60), max_size=6))
+def test_bpe_of_many_equals_merging(codec, merges, texts):
+    codec.words.free()
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(bpe, "MANY", 1)
+        patch.setattr(bpe, "GROUP", 100)
+        assert list(codec.encode_all(texts)) == [merges.encode_ordinary(t) for t in texts]
+
+
+def test_bpe_new_words_are_merged_at_once(merges, monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abdeilnorstué", k=rng.randint(1, 14))) for _ in range(400)) for _ in range(12)]
+    own = bpe.Codec(bpe.VOCABULARY)
+    monkeypatch.setattr(own, "_by_backtracking", None)  # not needed
+    assert list(own.encode_all(texts)) == [merges.encode_ordinary(t) for t in texts]
+
+
 def test_bpe_awkward(awkward, empty):
     assert bpe.encode(empty).count() == 0
     coded = bpe.encode(awkward)
