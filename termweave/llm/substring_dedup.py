@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, claim, drop_path, drop_tables, few, fmix64, fresh_path, materialise, spread
+from .common import claim, drop_path, drop_tables, few, fmix64, fresh_path, materialise, spread
 
 PASSAGE = 50
 ANCHOR = 25
@@ -45,7 +45,8 @@ BATCHES = 3
 FANOUT = 2
 #: Array elements up to which (id, array) rows are broadcast to texts (some 64 MB).
 BROADCAST_ITEMS = 4_000_000
-_HASH = Memo(xxhash.xxh64_intdigest, 60_000, "substring_dedup")
+#: Words of documents that are hashed and searched for anchors at once.
+WORDS = 1 << 15
 _STEP = np.uint64(0xD1342543DE82EF95)
 
 
@@ -57,7 +58,8 @@ def parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Rec
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
-    return np.fromiter(map(_HASH.__getitem__, words), np.uint64, len(words))
+    """Hashed one by one: that takes less than to look them up in a memo."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
@@ -94,32 +96,53 @@ def anchors(h: np.ndarray, anchor: int = ANCHOR, passage: int = PASSAGE) -> tupl
     Each run of ``passage - anchor + 1`` windows has its least hash chosen, every
     place where it stands included, so equal passages choose alike.
     """
+    return anchors_of(h, np.zeros(len(h), np.int64), anchor, passage)
+
+
+def anchors_of(h: np.ndarray, doc: np.ndarray, anchor: int, passage: int) -> tuple[np.ndarray, np.ndarray]:
+    """``anchors`` of documents one after another; ``doc`` has each word's document number."""
     v = window_hashes(h, anchor)
     span = passage - anchor + 1
     if len(v) < span:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     low = sliding_min(v, span)
+    low[doc[: len(low)] != doc[passage - 1 :]] = 0  # these runs leave their document
     # v[i] is chosen if it's the least of some run that holds it: the greatest of
     # the minima of the runs around it equals it
     padded = np.concatenate([np.zeros(span - 1, np.uint64), low, np.zeros(span - 1, np.uint64)])
     at = np.flatnonzero(~sliding_min(~padded, span) == v)
+    at = at[doc[at] == doc[at + anchor - 1]]
     return at, v[at]
 
 
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Some rows, hashes of their texts' words one after another, and the words' row numbers.
+
+    Small arrays cost more than what they hold, so there are about ``WORDS``
+    words in a group, or one longer document.
+    """
+    for batch in parts(batches):
+        hashes, words, first = [], 0, 0
+        for row, text in enumerate(batch.column(1).to_pylist()):
+            hashes.append(word_hashes(text.split()))
+            words += len(hashes[-1])
+            if words >= WORDS or row + 1 == batch.num_rows:
+                yield batch.slice(first, row + 1 - first), np.concatenate(hashes), np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])
+                hashes, words, first = [], 0, row + 1
+
+
 def _fingerprints(anchor: int, passage: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("substring_dedup")
-        for batch in parts(batches):
-            ids, hashes = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                _, found = anchors(word_hashes(text.split()), anchor, passage)
-                # a hash twice in one document is marked by a second row
-                distinct, count = np.unique(found, return_counts=True)
-                both = np.concatenate([distinct, distinct[count > 1]])
-                ids.append(np.full(len(both), doc_id, np.int64))
-                hashes.append(both)
-            if ids:
-                yield pa.record_batch({"h": pa.array(np.concatenate(hashes).view(np.int64)), "doc_id": pa.array(np.concatenate(ids))})
+        for rows, h, doc in groups(batches):
+            at, found = anchors_of(h, doc, anchor, passage)
+            order = np.lexsort((found, doc[at]))
+            found, own = found[order], doc[at][order]
+            # a hash twice in one document is marked by a second row
+            new = np.ones(len(found) + 1, bool)
+            new[1:-1] = (found[1:] != found[:-1]) | (own[1:] != own[:-1])
+            kept = np.flatnonzero(new[:-1] | np.concatenate([[False], new[:-2]])[: len(found)])
+            yield pa.record_batch({"h": pa.array(found[kept].view(np.int64)), "doc_id": rows.column(0).take(pa.array(own[kept]))})
 
     return run
 
@@ -128,30 +151,30 @@ def _windows(anchor: int, passage: int):
     """Rows (doc_id, text, own, hs) to windows around the anchors in ``hs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches):
-            ids, hashes, places, owned = [], [], [], []
-            for doc_id, text, own, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
-                h = word_hashes(text.split())
-                at, found = anchors(h, anchor, passage)
-                at = at[np.isin(found, wanted.values.to_numpy().view(np.uint64))]
-                whole = window_hashes(h, passage)
-                cover = np.zeros(len(whole) + 1, np.int64)
-                np.add.at(cover, np.maximum(at - (passage - anchor), 0), 1)
-                np.add.at(cover, np.minimum(at + 1, len(whole)), -1)
-                near = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
-                ids.append(np.full(len(near), doc_id, np.int64))
-                hashes.append(whole[near])
-                places.append(near.astype(np.int32))
-                owned.append(np.full(len(near), own))
-            if ids:
-                yield pa.record_batch(
-                    {
-                        "h": pa.array(np.concatenate(hashes).view(np.int64)),
-                        "doc_id": pa.array(np.concatenate(ids)),
-                        "place": pa.array(np.concatenate(places)),
-                        "own": pa.array(np.concatenate(owned)),
-                    }
-                )
+        claim("substring_dedup")
+        for rows, h, doc in groups(batches):
+            at, found = anchors_of(h, doc, anchor, passage)
+            wanted = rows.column(3)
+            # hashes by number, so that a document's number fits beside it
+            _, number = np.unique(np.concatenate([found, wanted.flatten().to_numpy().view(np.uint64)]), return_inverse=True)
+            pair = number * rows.num_rows + np.concatenate([doc[at], np.repeat(np.arange(rows.num_rows), wanted.value_lengths().to_numpy())])
+            at = at[np.isin(pair[: len(at)], pair[len(at) :])]
+            whole = window_hashes(h, passage)
+            size = np.bincount(doc, minlength=rows.num_rows)
+            start = np.cumsum(size) - size
+            first = np.maximum(at - (passage - anchor), start[doc[at]])
+            beyond = np.minimum(at + 1, (start + size)[doc[at]] - passage + 1)
+            cover = np.bincount(first, minlength=len(whole) + 1) - np.bincount(beyond, minlength=len(whole) + 1)
+            near = np.flatnonzero(np.cumsum(cover) > 0)
+            own = doc[near]
+            yield pa.record_batch(
+                {
+                    "h": pa.array(whole[near].view(np.int64)),
+                    "doc_id": rows.column(0).take(pa.array(own)),
+                    "place": pa.array((near - start[own]).astype(np.int32)),
+                    "own": rows.column(2).take(pa.array(own)),
+                }
+            )
 
     return run
 

@@ -567,6 +567,34 @@ def test_anchors_hit_every_passage():
         assert chosen[0] & chosen[1]
 
 
+@pytest.mark.parametrize("words", [1, 300, 1 << 20])
+def test_documents_are_searched_together_as_alone(monkeypatch, words):
+    """Groups of documents give what each gives alone, and no memo of words is kept."""
+    import pyarrow as pa
+
+    rng = random.Random(17)
+    texts = ["", "a", *(" ".join(rng.choices("abcd", k=n)) for n in (*range(4, 9), 0, 60, 200)), "a b " * 40, ""]
+    ids = [7 * i for i in range(len(texts))]
+    monkeypatch.setattr(substring_dedup, "WORDS", words)
+    batch = pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "text": texts})
+    got = [(r["doc_id"], r["h"]) for b in substring_dedup._fingerprints(3, 6)(iter([batch])) for r in b.to_pylist()]
+    prints, windows, asked = [], [], []
+    for i, text in zip(ids, texts):
+        h = substring_dedup.word_hashes(text.split())
+        places, found = substring_dedup.anchors(h, 3, 6)
+        found = found.view(np.int64).tolist()
+        prints += [(i, x) for x in set(found)] + [(i, x) for x in set(found) if found.count(x) > 1]
+        asked.append(sorted(set(found))[::2])
+        near = {w for p, x in zip(places, found) if x in asked[-1] for w in range(max(p - 3, 0), min(p + 1, len(h) - 5))}
+        whole = substring_dedup.window_hashes(h, 6).view(np.int64).tolist()
+        windows += [(i, w, whole[w], i % 2 == 0) for w in near]
+    assert sorted(got) == sorted(prints)
+    batch = pa.record_batch({"doc_id": batch.column(0), "text": batch.column(1), "own": pa.array([i % 2 == 0 for i in ids]), "hs": pa.array(asked, pa.list_(pa.int64()))})
+    rows = [(r["doc_id"], r["place"], r["h"], r["own"]) for b in substring_dedup._windows(3, 6)(iter([batch])) for r in b.to_pylist()]
+    assert sorted(rows) == sorted(windows) and windows
+    assert "substring_dedup" not in {memo.owner for memo in common._MEMOS}
+
+
 def test_passages_awkward(awkward, empty):
     assert substring_dedup.repeats(empty).count() == 0
     rows = substring_dedup.repeats(awkward)
