@@ -178,6 +178,14 @@ def test_one_exchange_of_the_texts_by_windows(spark):
     assert "BroadcastHashJoin" in plan
 
 
+def test_texts_of_one_split_are_cut_by_all_cores(spark):
+    docs = spark.createDataFrame([(1, "red fox")], "doc_id long, text string")
+    own = lower_recognizer(from_rows(spark, [(1, "red fox")]))
+    for few, moved in ((docs.coalesce(1), "RoundRobinPartitioning(4)"), (docs.repartition(2), "RoundRobinPartitioning(2)")):
+        plan = plan_of(match.match_windows(few, own.index, own.stop, own.terms, roots.lower))
+        assert plan.count("Exchange hashpartitioning(doc_id") == plan.count("RoundRobin") == plan.count(moved) == 1
+
+
 def test_a_root_without_a_plain_form(spark):
     own = Recognizer(from_rows(spark, [("1", "Robert")]), root=roots.soundex, filters=[])
     assert found(spark, own, "Rupert") == [(1, 0, 6, 1)]
