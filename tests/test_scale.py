@@ -46,3 +46,42 @@ def test_distinct_tokens(spark):
 def test_remembered_tokens_are_few():
     # four workers of an executor; 200 bytes a token and its root
     assert 4 * 200 * roots.MEMO < 100e6
+
+
+def test_terms_are_the_most_frequent_of_all(spark, tmp_path, monkeypatch):
+    from collections import Counter
+
+    from termweave.plans import dictionaries as made
+
+    rng = random.Random(1)
+    words = ["w%d" % min(int(rng.expovariate(0.05)), 400) for _ in range(20_000)] + ["Été", "½x"] * 30
+    texts = [" ".join(words[i : i + 37]) for i in range(0, len(words), 37)] + ["", "!?", None, "  lone"]
+    spark.createDataFrame([(t,) for t in texts], "text string").write.parquet(str(tmp_path / "documents.parquet"))
+    expected = set()
+    for n in range(1, made.LONGEST + 1):
+        counts = Counter()
+        for t in texts:
+            ws = "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()
+            counts.update(" ".join(ws[i : i + n]) for i in range(len(ws) - n + 1))
+        expected |= {(f"g_{n}_{r}", label) for r, (label, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: made.TOP], 1)}
+    # crowded sketches and few first candidates: the bounds must be lowered and counting repeated
+    for bits, first in ((20, 2000), (11, 3)):
+        monkeypatch.setattr(made, "CELL_BITS", bits)
+        monkeypatch.setattr(made, "CANDIDATES", first)
+        assert {(r.concept_id, r.label) for r in made.corpus_terms(spark, str(tmp_path)).collect()} == expected
+
+
+def test_terms_do_not_shuffle_every_ngram(spark, tmp_path, monkeypatch):
+    from termweave.plans import dictionaries as made
+
+    kept = []
+    counts = made._counts
+    monkeypatch.setattr(made, "_counts", lambda *a: kept.append(counts(*a)) or kept[-1])
+    monkeypatch.setattr(made, "CANDIDATES", 4)
+    rng = random.Random(2)
+    texts = [" ".join(["one two three four"] * 3 + ["u%d" % rng.randrange(10**9) for _ in range(40)]) for _ in range(300)]
+    monkeypatch.setattr(made, "TOP", 3)
+    spark.createDataFrame([(t,) for t in texts], "text string").write.parquet(str(tmp_path / "documents.parquet"))
+    made.corpus_terms(spark, str(tmp_path))
+    # 300 texts of 40 words that come once: 48,000 n-grams, of which few are counted as strings
+    assert sum(k.count() for k in kept) < 5_000
