@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Sequence
+from copy import copy
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +49,12 @@ class ConceptRecognizer(ABC):
             return [annotation_filters.label_filter(self.labels, key=self.key)]
         return list(self._filters)
 
+    def filtered(self, filters: Sequence[annotation_filters.AnnotationFilter]) -> ConceptRecognizer:
+        """This recogniser, with all it has built, with other filters."""
+        other = copy(self)
+        other._filters = list(filters)
+        return other
+
     def tokens(self, docs: DataFrame) -> DataFrame:
         """(key, pos, start, end, token) of all tokens."""
         return self.tokenizer.explode(docs, [self.key])

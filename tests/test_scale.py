@@ -85,3 +85,63 @@ def test_terms_do_not_shuffle_every_ngram(spark, tmp_path, monkeypatch):
     made.corpus_terms(spark, str(tmp_path))
     # 300 texts of 40 words that come once: 48,000 n-grams, of which few are counted as strings
     assert sum(k.count() for k in kept) < 5_000
+
+
+def annotated(spark, **options):
+    from termweave.operators.recognizer import Recognizer
+    from termweave.sources.dictionary import from_rows
+
+    names = [(1, "red fox"), (1, "fox"), (1, "foxs"), (2, "Fox"), (2, "fox"), (3, "den"), (3, "dens"), (4, "fox red den")]
+    return Recognizer(from_rows(spark, names), root=roots.s_stem, **options)
+
+
+def mentions(spark):
+    rng = random.Random(3)
+    words = ["fox", "Fox", "foxs", "red", "den", "dens", "the", ",", "é", "fxo"]
+    return spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 20)))) for i in range(200)] + [(900, None)], "doc_id long, text string")
+
+
+def test_filters_are_part_of_the_scan(spark):
+    from pyspark.sql import functions as F
+
+    from termweave.operators.filters import label_filter, levenshtein_filter
+
+    own, docs = annotated(spark, filters=[]), mentions(spark)
+    every = own.annotate(docs)
+    for theta in (0.85, 1.0, -0.5, -1.5):
+        fused, general = levenshtein_filter(own.index, theta)(every), label_filter(own.labels, theta)(every)
+        assert sorted(map(tuple, fused.collect())) == sorted(map(tuple, general.select(*fused.columns).collect()))
+        assert "Exchange" not in fused._jdf.queryExecution().executedPlan().toString()
+    assert fused.count() < every.count()
+    # rows that a caller has changed are no longer the scan's
+    some = levenshtein_filter(own.index)(every.where("start > 5"))
+    assert {r.start > 5 for r in some.collect()} == {True}
+    chain = own.filtered([levenshtein_filter(own.index), lambda found: found.where(F.length("matched_text") > 3)])
+    assert chain.index is own.index and own.filters == []
+    assert "Exchange" not in chain.annotate(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_longest_annotations_are_chosen_by_the_scan(spark, monkeypatch):
+    from termweave.operators import match
+
+    own, docs = annotated(spark, filters=[]), mentions(spark)
+    place = ["doc_id", "concept_id", "start", "end", "matched_length"]
+    got = match.longest(own.matches(docs))
+    expected = match.longest(own.matches(docs).select("*")).select(*place)
+    assert sorted(map(tuple, got.select(*place).collect())) == sorted(map(tuple, expected.collect()))
+    handed = match.scan_of(own.matches(docs)).but(longest=True)
+    assert handed.select("doc_id", "start").distinct().count() == got.count() < own.matches(docs).select("doc_id", "start").distinct().count()
+
+
+def test_states_are_forgotten(spark, monkeypatch):
+    from termweave.operators import scan
+
+    own = annotated(spark, filters=[])
+    matcher = scan.Matcher(own.index.rows_in_memory(), own.stop, own.terms).prepare(roots.s_stem.plain)
+    cut = PATTERN.cutter(spark)
+    texts = pa.array([r.text for r in mentions(spark).collect()], pa.string())
+    walks = lambda: [x.tolist() for x in matcher.walk(cut(Texts(texts), texts))][:2]
+    first, states = walks(), len(matcher.keys)
+    monkeypatch.setattr(scan, "MEMO_STATES", 0)
+    monkeypatch.setattr(scan, "MEMO_TOKENS", 2)
+    assert walks() == first and len(matcher.keys) == states > len(matcher.posted)
