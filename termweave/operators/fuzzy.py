@@ -3,7 +3,8 @@
 Two strings within k edits share one of k + 1 segments of either, at a place
 shifted by at most k. So labels are cut in k + 1 segments, and windows look their
 substrings up by (label length, segment, substring): an equi-join. Candidates
-are then verified. Labels shorter than k + 1 characters have no such segments;
+are then verified. A dictionary that every task can hold is looked up in one pass
+over each text (``near``), which asks for the same segments. Labels shorter than k + 1 characters have no such segments;
 they meet windows of up to 2 k characters where deleting at most k characters
 from either gives the same string, which is an equi-join too.
 """
@@ -12,12 +13,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from ..functions.text import normalize_fuzzy
-from ..functions.tokenizers import PATTERN, Tokenizer
+from ..functions.text import LETTER, normalize_fuzzy
+from ..functions.tokenizers import PATTERN, Tokenizer, word_class
 from ..sources.dictionary import rank
+from . import near
 
 DISTANCE = 2
+#: Labels up to which texts are read in one pass; beyond, windows are joined with segments.
+SCAN_LABELS = 5_000
 
 
 def fuzzy_labels(labels: DataFrame) -> DataFrame:
@@ -91,10 +96,20 @@ def similar(strings: DataFrame, labels: DataFrame, k: int = DISTANCE) -> DataFra
 
 
 def _met(docs: DataFrame, known: DataFrame, k: int, key: str, tokenizer: Tokenizer) -> DataFrame:
-    longest = known.agg(F.max("n_tokens").alias("longest")).first()["longest"]
-    places = windows(docs, int(longest or 1), key, tokenizer)
-    # a common word is looked up once
-    return places.join(similar(places.select("window").distinct(), known, k), "window")
+    """(key, start, end, surface, window, n, distance) with the columns of ``known`` but its sizes."""
+    facts = known.agg(F.max("n_tokens").alias("longest"), F.count("*").alias("labels")).first()
+    longest = int(facts["longest"] or 1)
+    if facts["labels"] > SCAN_LABELS:
+        places = windows(docs, longest, key, tokenizer)
+        # a common word is looked up once
+        return places.join(similar(places.select("window").distinct(), known, k), "window")
+    spark = docs.sparkSession
+    slim = docs.select(key, F.col("text").cast("string").alias("text"))
+    labels = known.select("normalized", "concept_id", "label_index")
+    shared = spark.sparkContext.broadcast(near.NearLabels(labels.toArrow(), k, longest, word_class(spark, LETTER)))
+    fields = [StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("surface", StringType()), StructField("window", StringType()), StructField("n", IntegerType()), StructField("distance", IntegerType())]
+    schema = StructType([slim.schema[key], *fields, *labels.schema.fields])
+    return slim.mapInArrow(near.runner(shared, tokenizer.cutter(spark), key, schema.names), schema)
 
 
 def fuzzy_match(docs: DataFrame, labels: DataFrame, k: int = DISTANCE, key: str = "doc_id", tokenizer: Tokenizer = PATTERN) -> DataFrame:

@@ -145,3 +145,44 @@ def test_states_are_forgotten(spark, monkeypatch):
     monkeypatch.setattr(scan, "MEMO_STATES", 0)
     monkeypatch.setattr(scan, "MEMO_TOKENS", 2)
     assert walks() == first and len(matcher.keys) == states > len(matcher.posted)
+
+
+def test_distances_of_many_pairs():
+    from termweave.operators import near
+
+    def levenshtein(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abé") for _ in range(rng.randint(0, 7)))
+    pairs = [(word(), word()) for _ in range(3000)]
+    a, b = (Texts(pa.array([p[i] for p in pairs], pa.string())) for i in (0, 1))
+    for k in (0, 1, 2, 3):
+        got = near.distances(near._matrix(a.codes, a.at[:-1], np.diff(a.at), -1), np.diff(a.at), near._matrix(b.codes, b.at[:-1], np.diff(b.at), -2), np.diff(b.at), k)
+        assert got.tolist() == [min(levenshtein(*p), k + 1) for p in pairs]
+
+
+def test_near_windows_are_found_in_one_pass(spark, monkeypatch):
+    from termweave.operators import fuzzy
+    from termweave.sources.dictionary import from_rows
+
+    rng = random.Random(6)
+    letters = lambda a, b: "".join(rng.choice("abcé") for _ in range(rng.randint(a, b)))
+    labels = from_rows(spark, [(i, " ".join(letters(1, 6) for _ in range(rng.randint(1, 3)))) for i in range(60)])
+    texts = [(i, rng.choice(["", " ", ", "]).join(letters(0, 5) + rng.choice(["", " ", "  ", "-", "नि", "É"]) for _ in range(rng.randint(0, 25)))) for i in range(60)]
+    docs = spark.createDataFrame([*texts, (99, None)], "doc_id long, text string")
+    for k in (1, 2):
+        one = fuzzy.fuzzy_match(docs, labels, k)
+        assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(fuzzy, "SCAN_LABELS", 0)
+        joined = fuzzy.fuzzy_match(docs, labels, k)
+        monkeypatch.undo()
+        assert one.schema.simpleString() == joined.schema.simpleString()
+        rows = sorted(map(repr, map(tuple, one.collect())))
+        assert rows == sorted(map(repr, map(tuple, joined.collect()))) and len(rows) > 100
