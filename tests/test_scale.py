@@ -186,3 +186,32 @@ def test_near_windows_are_found_in_one_pass(spark, monkeypatch):
         assert one.schema.simpleString() == joined.schema.simpleString()
         rows = sorted(map(repr, map(tuple, one.collect())))
         assert rows == sorted(map(repr, map(tuple, joined.collect()))) and len(rows) > 100
+
+
+def test_windows_shuffle_hits_only(spark):
+    from pyspark.sql import functions as F
+
+    from termweave import wordlists
+    from termweave.operators import match
+
+    stop, terms = wordlists.STOP["en"], wordlists.TERMINATION["en"]
+    docs = mentions(spark).withColumn("text", F.concat_ws(" ", "text", F.lit("of red, the fox  and den")))
+    rows = match.content_tokens(docs, stop, terms)
+    tokens = {}
+    for r in PATTERN.explode(docs, ["doc_id"]).orderBy("doc_id", "pos").collect():
+        tokens.setdefault(r.doc_id, []).append(r)
+    expected = set()
+    for doc, found in tokens.items():
+        seg = cpos = 0
+        for r in found:
+            if r.token.strip(" ") in terms:
+                seg += 1
+            elif r.token not in stop:
+                cpos += 1
+                expected.add((doc, seg, cpos, r.start, r.end, r.token))
+    assert set(map(tuple, rows.collect())) == expected and len(expected) == rows.count()
+    assert "Window" not in rows._jdf.queryExecution().executedPlan().toString()
+    own = annotated(spark)
+    plan = match.match_windows(docs.coalesce(1), own.index, stop, terms, roots.lower)._jdf.queryExecution().executedPlan().toString()
+    # the tokens meet the dictionary before the exchange on the document's id, which is above in the plan
+    assert plan.index("Exchange hashpartitioning(doc_id") < plan.index("BroadcastHashJoin") and plan.count("hashpartitioning(doc_id") == 1
