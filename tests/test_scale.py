@@ -215,3 +215,18 @@ def test_windows_shuffle_hits_only(spark):
     plan = match.match_windows(docs.coalesce(1), own.index, stop, terms, roots.lower)._jdf.queryExecution().executedPlan().toString()
     # the tokens meet the dictionary before the exchange on the document's id, which is above in the plan
     assert plan.index("Exchange hashpartitioning(doc_id") < plan.index("BroadcastHashJoin") and plan.count("hashpartitioning(doc_id") == 1
+
+
+def test_a_suffix_is_one_call_for_most_words():
+    from termweave.functions import stemmers
+
+    class Counted(str):
+        calls = 0
+
+        def endswith(self, *options):
+            Counted.calls += 1
+            return super().endswith(*options)
+
+    options = stemmers._EN_STEP2_ORDER
+    assert stemmers._suffix(Counted("qwrt"), options) == "" and Counted.calls == 1
+    assert [stemmers._suffix(w, options) for w in ("national", "rational", "ogi", "")] == [next((s for s in options if w.endswith(s)), "") for w in ("national", "rational", "ogi", "")]
