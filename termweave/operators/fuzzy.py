@@ -11,6 +11,8 @@ from either gives the same string, which is an equi-join too.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
@@ -95,21 +97,22 @@ def similar(strings: DataFrame, labels: DataFrame, k: int = DISTANCE) -> DataFra
     return both.withColumn("distance", F.levenshtein("window", "normalized", k)).where("distance >= 0")
 
 
-def _met(docs: DataFrame, known: DataFrame, k: int, key: str, tokenizer: Tokenizer) -> DataFrame:
-    """(key, start, end, surface, window, n, distance) with the columns of ``known`` but its sizes."""
+def _met(docs: DataFrame, known: DataFrame, k: int, key: str, tokenizer: Tokenizer, columns: Sequence[str]) -> DataFrame:
+    """``columns`` of (key, start, end, surface, window, n, distance) and of the labels."""
     facts = known.agg(F.max("n_tokens").alias("longest"), F.count("*").alias("labels")).first()
     longest = int(facts["longest"] or 1)
     if facts["labels"] > SCAN_LABELS:
         places = windows(docs, longest, key, tokenizer)
         # a common word is looked up once
-        return places.join(similar(places.select("window").distinct(), known, k), "window")
+        return places.join(similar(places.select("window").distinct(), known, k), "window").select(*columns)
     spark = docs.sparkSession
     slim = docs.select(key, F.col("text").cast("string").alias("text"))
     labels = known.select("normalized", "concept_id", "label_index")
     shared = spark.sparkContext.broadcast(near.NearLabels(labels.toArrow(), k, longest, word_class(spark, LETTER)))
-    fields = [StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("surface", StringType()), StructField("window", StringType()), StructField("n", IntegerType()), StructField("distance", IntegerType())]
-    schema = StructType([slim.schema[key], *fields, *labels.schema.fields])
-    return slim.mapInArrow(near.runner(shared, tokenizer.cutter(spark), key, schema.names), schema)
+    kinds = {"start": IntegerType(), "end": IntegerType(), "surface": StringType(), "window": StringType(), "n": IntegerType(), "distance": IntegerType()}
+    kinds |= {f.name: f.dataType for f in [slim.schema[key], *labels.schema.fields]}
+    schema = StructType([StructField(c, kinds[c]) for c in columns])
+    return slim.mapInArrow(near.runner(shared, tokenizer.cutter(spark), key, columns), schema)
 
 
 def fuzzy_match(docs: DataFrame, labels: DataFrame, k: int = DISTANCE, key: str = "doc_id", tokenizer: Tokenizer = PATTERN) -> DataFrame:
@@ -118,11 +121,10 @@ def fuzzy_match(docs: DataFrame, labels: DataFrame, k: int = DISTANCE, key: str
     Every window of up to as many words as the longest label has is compared.
     Windows are made distinct before the join, so a common word is looked up once.
     """
-    found = _met(docs, fuzzy_labels(labels), k, key, tokenizer)
-    return found.select(key, "start", "end", "window", "concept_id", "label_index", "normalized", "distance")
+    return _met(docs, fuzzy_labels(labels), k, key, tokenizer, (key, "start", "end", "window", "concept_id", "label_index", "normalized", "distance"))
 
 
 def mentions(docs: DataFrame, known: DataFrame, k: int = DISTANCE, key: str = "doc_id", tokenizer: Tokenizer = PATTERN) -> DataFrame:
     """(key, concept_id, label_index, start, end, matched_text, matched_length) for ``fuzzy_labels``."""
-    found = _met(docs, known, k, key, tokenizer)
+    found = _met(docs, known, k, key, tokenizer, (key, "concept_id", "label_index", "start", "end", "surface", "n"))
     return found.select(key, "concept_id", "label_index", "start", "end", F.col("surface").alias("matched_text"), F.col("n").cast("int").alias("matched_length"))

@@ -10,7 +10,7 @@ passes is verified.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -195,8 +195,8 @@ class NearLabels:
         kept = each <= self.k
         return windows[kept], labels[kept], each[kept]
 
-    def scan(self, texts: pa.StringArray, cut: Cuts) -> Iterator[dict]:
-        """Columns of the windows of ``texts`` that are near labels, for each number of words."""
+    def scan(self, texts: pa.StringArray, cut: Cuts, columns: Sequence[str]) -> Iterator[dict]:
+        """Rows and ``columns`` of the windows of ``texts`` that are near labels, for each number of words."""
         source = Texts(texts)
         tokens = cut(source, texts)
         encoded = tokens.tokens.dictionary_encode()
@@ -229,28 +229,27 @@ class NearLabels:
                 first = at[window]
             if not len(first):
                 continue
-            begin, end = stream.at[first], stream.at[first + count] - 1
-            yield {
-                "rows": rows[first],
-                "start": pa.array(starts[first], pa.int32()),
-                "end": pa.array(ends[first + last], pa.int32()),
-                "surface": source.surface(rows[first], starts[first], ends[first + last]),
-                "window": stream.surface(np.zeros(len(first), np.int64), begin, end),
-                "n": pa.array(np.full(len(first), count, np.int32)),
-                "distance": pa.array(distance, pa.int32()),
-                **{name: column.take(pa.array(label)) for name, column in self.columns.items()},
+            made = {
+                "start": lambda: pa.array(starts[first], pa.int32()),
+                "end": lambda: pa.array(ends[first + last], pa.int32()),
+                "surface": lambda: source.surface(rows[first], starts[first], ends[first + last]),
+                "window": lambda: stream.surface(np.zeros(len(first), np.int64), stream.at[first], stream.at[first + count] - 1),
+                "n": lambda: pa.array(np.full(len(first), count, np.int32)),
+                "distance": lambda: pa.array(distance, pa.int32()),
             }
+            yield {"rows": rows[first]} | {c: made[c]() if c in made else self.columns[c].take(pa.array(label)) for c in columns}
 
 
-def runner(shared, cut: Cuts, key: str, columns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def runner(shared, cut: Cuts, key: str, columns: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Batches of (key, text) to those of ``columns``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value.prepare()
+        others = [c for c in columns if c != key]
         for batch in batches:
             for first, end in slices(batch.column(1), SLICE_BYTES):
                 part = batch.slice(first, end - first)
-                for found in own.scan(part.column(1), cut):
+                for found in own.scan(part.column(1), cut, others):
                     found[key] = part.column(0).take(pa.array(found.pop("rows")))
                     yield pa.record_batch({name: found[name] for name in columns})
 
